@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import decontamination
+from spectrafold.llm import bpe, decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_bpe": bpe.op7_bpe,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
