@@ -134,7 +134,7 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         for d in short:
             total = _U(counts[d])
             for k in range(words.first[d], words.first[d + 1]):
-                total = total * _INVERSE + h[k]
+                total = _U((int(total) * int(_INVERSE) + int(h[k])) & 0xFFFFFFFFFFFFFFFF)
             values.append(total)
         out = np.concatenate([out, mix(np.array(values, dtype=_U))])
         doc = np.concatenate([doc, short])
