@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an id table that may be broadcast (some 30 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +40,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        where = self.path(name)
-        df.write.mode("overwrite").parquet(where)
+    def put(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+        """``arrow_rows`` bounds the rows of a batch handed to Python, where rows are large."""
+        where, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if arrow_rows:
+            self.spark.conf.set(key, arrow_rows)
+        try:
+            df.write.mode("overwrite").parquet(where)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
@@ -46,3 +57,13 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (a written table of distinct ids).
+
+    The ids are counted: few enough are broadcast, so that the documents are
+    not shuffled; beyond that it is an ordinary shuffled semi-join.
+    """
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")

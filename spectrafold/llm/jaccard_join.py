@@ -12,7 +12,8 @@ Stages, all linear in the input but for pairs that share rare tokens:
    whose smallest id stands for it.  The same pass counts repeated tokens per
    task into a sketch of fixed size, which only steers the order (any order
    gives the same result).
-2. Prefix tokens per class, once per task; tokens of a single class go.
+2. Prefix tokens per class, once per task, with their places; tokens of a
+   single class go.
 3. Stars: each class is verified against one pivot, the smallest class on most
    of its tokens, and components are formed; a large group of near copies
    collapses here with one pair per member.
@@ -20,6 +21,10 @@ Stages, all linear in the input but for pairs that share rare tokens:
    classes in different components are verified; links within a component
    can't change it.
 
+Pairs whose last shared prefix token comes too late for the shared tokens
+before it are dropped before any set is read (the positional bound); only texts
+of the pairs that remain are split again for verification.
+
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a text of fewer words is one shingle; rows with the same id count
 as one node; an empty table gives an empty result; other columns are not read.
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.llm._store import Scratch
+from spectrafold.llm._store import Scratch, rows_of
 from spectrafold.llm._text import SPACED, mix, shingle_hashes, split_words, text_chunks
 from spectrafold.llm.components import connected_components
 
@@ -67,12 +72,13 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _first(tokens: np.ndarray, order: int, percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    """The prefix tokens of a set under one of the orders."""
+    """The prefix tokens of a set under one of the orders, in that order."""
     key = mix(tokens ^ _ORDERS[order])
     if common is not None:
         key = (key >> np.uint64(8)) | (common[(tokens & np.uint64(_CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56))
     p = _prefix(len(tokens), percent)
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    some = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[some[np.argsort(key[some])]]
 
 
 def _signatures(id_col: str, size: int):
@@ -132,8 +138,8 @@ def _prefixes(common, size: int, percent: int):
             if classes:
                 p, n = np.array(sizes).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens_out).view(np.int64)), pa.array(np.repeat(np.array(classes, dtype=np.int64), p)), pa.array(np.repeat(n, p).astype(np.int32))],
-                    names=["token", "class", "n"],
+                    [pa.array(np.concatenate(tokens_out).view(np.int64)), pa.array(np.repeat(np.array(classes, dtype=np.int64), p)), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in p]))],
+                    names=["token", "class", "n", "at"],
                 )
 
     return run
@@ -201,7 +207,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     # 1. Signatures, classes and the sketch of common tokens.
-    signed = scratch.put(texts.mapInArrow(_signatures(id_col, size), f"`{id_col}` {kind}, n long, one long, two long, cells array<struct<cell:int,n:long>>"), "signed")
+    signed = scratch.put(texts.mapInArrow(_signatures(id_col, size), f"`{id_col}` {kind}, n long, one long, two long, cells array<struct<cell:int,n:long>>"), "signed", 2000)
     cells = signed.where("cells IS NOT NULL").select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).where("n >= 8")
     common = np.zeros(_CELLS, dtype=np.uint8)
     cells = cells.toPandas()  # no more rows than the sketch has cells
@@ -210,35 +216,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = signed.where("n >= 0").drop("cells")
     classes = scratch.put(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min(id_col).alias("rep")), "classes")
     # 2. Prefix tokens that several classes share.
-    entries = texts.select("text").mapInArrow(_prefixes(shared, size, percent), "token long, class long, n int")
+    entries = texts.select("text").mapInArrow(_prefixes(shared, size, percent), "token long, class long, n int, at int")
     by_token = W.partitionBy("token").orderBy("class")
     entries = entries.repartition(F.col("token")).dropDuplicates(["token", "class"])
     entries = entries.withColumn("before", F.lag("class").over(by_token)).withColumn("after", F.lead("class").over(by_token)).where("before IS NOT NULL OR after IS NOT NULL")
-    entries = entries.select("token", F.col("class").alias("one"), "n").join(classes.select("one", "rep", F.col("n").cast("int").alias("n")), ["one", "n"])
-    entries = scratch.put(entries.select("token", "rep", "n"), "entries")
-    # Whole sets of the classes that may link.
-    some = entries.select(F.col("rep").alias(id_col)).distinct()
-    sets = scratch.put(texts.join(some, id_col, "left_semi").mapInArrow(_whole_sets(id_col, size), f"`{id_col}` {kind}, tokens binary"), "sets")
-    # 3. One pivot per class.
-    pivots = entries.groupBy("token").agg(F.min("rep").alias("pivot"))
-    stars = entries.join(pivots, "token").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
-    stars = stars.groupBy(F.col("rep").alias("a")).agg(F.max_by("pivot", F.struct("times", F.col("pivot"))).alias("b"))
-    links = scratch.put(_verified(stars, sets, id_col, percent), "stars")
+    entries = entries.select("token", F.col("class").alias("one"), "n", "at").join(classes.select("one", "rep", F.col("n").cast("int").alias("n")), ["one", "n"])
+    entries = scratch.put(entries.select("token", "rep", "n", "at"), "entries", 2000)
+
+    # Beyond the last token that two prefixes share lie what is left of either set; before it, only what they share.
+    possible = f"(times + least(n_a - 1 - last.at_a, n_b - 1 - last.at_b)) * {100 + percent} >= (n_a + n_b) * {percent} AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
+    met_at = [F.count("*").alias("times"), F.max(F.struct("at_a", "at_b")).alias("last"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b")]
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.put(pairs.select("a", "b"), f"{name}-pairs")
+        some = scratch.put(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), f"{name}-ids")
+        sets = scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size), f"`{id_col}` {kind}, tokens binary"), f"{name}-sets", 2000)
+        out = scratch.put(_verified(pairs, sets, id_col, percent), name, 64)
+        scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
+        return out
+
+    # 3. One pivot per class: the one it shares most tokens with.
+    mine = entries.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    pivots = entries.groupBy("token").agg(F.min(F.struct("rep", "n", "at")).alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
+    stars = mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).where(possible)
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    links = verified(stars, "stars")
     first = connected_components(links, scratch, "first")
     # 4. Pairs across components.
-    placed = entries.join(first, entries.rep == first.id, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("place"))
+    placed = entries.join(first, entries.rep == first.id, "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("place"))
     met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("token")
     placed = scratch.put(placed.join(met, "token", "left_semi"), "placed")
+    scratch.drop("entries")
     places = placed.groupBy("token", "place").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = places.select("token", F.col("place").alias("place_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     fits = f"place < place_b AND high * 100 >= low_b * {percent} AND high_b * 100 >= low * {percent}"
     meets = places.join(other, "token").where(fits).select("token", "place", "place_b")
-    mine = placed.select("token", "place", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    theirs = placed.select("token", F.col("place").alias("place_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    mine = placed.select("token", "place", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    theirs = placed.select("token", F.col("place").alias("place_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     cross = meets.join(mine, ["token", "place"]).join(theirs, ["token", "place_b"]).where(f"n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.put(_verified(cross, sets, id_col, percent), "cross")
-    scratch.drop("sets", "placed", "entries")
+    more = verified(cross.groupBy("a", "b").agg(*met_at).where(possible), "cross")
+    scratch.drop("placed")
     found = connected_components(links.union(more), scratch, "second")
     roots = classes.join(found, classes.rep == found.id, "left").select("one", "two", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(roots, (signed.one == roots.one) & (signed.two == roots.two) & (signed.n == roots["size"]), "left")
