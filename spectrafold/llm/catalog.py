@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, decontamination, jaccard_join, toxicity
+from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
         "op10_decontamination": decontamination.op10_decontamination,
