@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
+from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, pii, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 

@@ -14,8 +14,8 @@ Stages, all linear in the input but for pairs that share rare tokens:
    gives the same result).
 2. Prefix tokens per class, once per task, with their places; tokens of a
    single class go.
-3. Stars: each class is verified against one pivot, the smallest class on most
-   of its tokens, and components are formed; a large group of near copies
+3. Stars: each class is verified against one pivot, the most central class on
+   most of its tokens, and components are formed; a large group of near copies
    collapses here with one pair per member.
 4. Cross pairs: of the tokens that still hold several components, pairs of
    classes in different components are verified; links within a component
@@ -220,8 +220,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_token = W.partitionBy("token").orderBy("class")
     entries = entries.repartition(F.col("token")).dropDuplicates(["token", "class"])
     entries = entries.withColumn("before", F.lag("class").over(by_token)).withColumn("after", F.lead("class").over(by_token)).where("before IS NOT NULL OR after IS NOT NULL")
-    entries = entries.select("token", F.col("class").alias("one"), "n", "at").join(classes.select("one", "rep", F.col("n").cast("int").alias("n")), ["one", "n"])
-    entries = scratch.put(entries.select("token", "rep", "n", "at"), "entries", 2000)
+    entries = entries.withColumn("share", F.count("*").over(W.partitionBy("token")))
+    entries = entries.select("token", F.col("class").alias("one"), "n", "at", "share").join(classes.select("one", "rep", F.col("n").cast("int").alias("n")), ["one", "n"])
+    entries = scratch.put(entries.select("token", "rep", "n", "at", "share"), "entries", 2000)
 
     # Beyond the last token that two prefixes share lie what is left of either set; before it, only what they share.
     possible = f"(times + least(n_a - 1 - last.at_a, n_b - 1 - last.at_b)) * {100 + percent} >= (n_a + n_b) * {percent} AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
@@ -235,9 +236,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
         return out
 
-    # 3. One pivot per class: the one it shares most tokens with.
+    # 3. One pivot per class. Of a token's classes the pivot is the one whose tokens are the most widely shared: of near
+    # copies that is the text they derive from, which lies nearer to each than they do to each other.
     mine = entries.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    pivots = entries.groupBy("token").agg(F.min(F.struct("rep", "n", "at")).alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
+    middle = entries.groupBy("rep").agg((F.sum("share") / F.max("n")).alias("middle"))
+    pivots = entries.join(middle, "rep").groupBy("token").agg(F.max(F.struct("middle", "rep", "n", "at")).alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
     stars = mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).where(possible)
     stars = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links = verified(stars, "stars")
