@@ -250,13 +250,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("token")
     placed = scratch.put(placed.join(met, "token", "left_semi"), "placed")
     scratch.drop("entries")
-    places = placed.groupBy("token", "place").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = places.select("token", F.col("place").alias("place_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    fits = f"place < place_b AND high * 100 >= low_b * {percent} AND high_b * 100 >= low * {percent}"
-    meets = places.join(other, "token").where(fits).select("token", "place", "place_b")
+    # Members of a component with equal size and place are one row until a pair of such rows can hold a link at all.
+    places = placed.groupBy("token", "place", "n", "at").agg(F.count("*").alias("members")).select("token", "place", F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    other = places.select("token", F.col("place").alias("place_b"), F.col("n_a").alias("n_b"), F.col("at_a").alias("at_b"))
+    one_token = f"(least(at_a, at_b) + 1 + least(n_a - 1 - at_a, n_b - 1 - at_b)) * {100 + percent} >= (n_a + n_b) * {percent}"
+    meets = places.join(other, "token").where(f"place < place_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND {one_token}")
     mine = placed.select("token", "place", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     theirs = placed.select("token", F.col("place").alias("place_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    cross = meets.join(mine, ["token", "place"]).join(theirs, ["token", "place_b"]).where(f"n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}")
+    cross = meets.join(mine, ["token", "place", "n_a", "at_a"]).join(theirs, ["token", "place_b", "n_b", "at_b"])
     more = verified(cross.groupBy("a", "b").agg(*met_at).where(possible), "cross")
     scratch.drop("placed")
     found = connected_components(links.union(more), scratch, "second")
