@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, pii, secrets, toxicity, vector_graph, warc
+from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, packing, pii, secrets, toxicity, vector_graph, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_vector_graph": vector_graph.op2_vector_graph,
+        "op3_packing": packing.op3_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_warc": warc.op5_warc,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
