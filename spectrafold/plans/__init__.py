@@ -1 +1,3 @@
-"""Spectrafold plans."""
+"""Registered queries; importing this package registers all of them."""
+
+from spectrafold.plans import analytics, tabular  # noqa: F401
