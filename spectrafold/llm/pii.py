@@ -79,18 +79,21 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     """
     terms = found.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(WORD), F.lit(0)))).alias("term"))
     pairs = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    pairs = scratch.put(pairs, "pairs")
-    wanted = scratch.put(pairs.select("term").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    # Documents that hold each candidate word anywhere.
-    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    held = scratch.put(words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"), "held")
-    n_texts = texts.count()
-    by_term = held.groupBy("term").agg(F.count("*").alias("with_term"))
     entities = found.select("key", "entity").distinct()
     by_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    pairs = scratch.put(pairs.join(by_entity, "entity"), "pairs")
+    # Documents per word over the whole corpus, combined per task before the shuffle.
+    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    wanted = pairs.select("term").distinct()
+    by_term = scratch.put(words.groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi"), "by_term")
+    n_texts = texts.count()
+    # A word in more documents than its entity's over SHARE can't reach that share: common words stop here.
+    pairs = scratch.put(pairs.join(by_term, "term").where(F.col("with_term") * SHARE <= F.col("with_entity")), "rare_pairs")
+    rare = scratch.put(pairs.select("term").distinct(), "rare")
+    few = rare.count() <= BROADCAST_ROWS
+    held = scratch.put(words.join(F.broadcast(rare) if few else rare, "term", "left_semi"), "held")
     both = held.join(entities, "key").groupBy("entity", "term").agg(F.count("*").alias("with_both"))
-    scored = pairs.join(both, ["entity", "term"]).join(by_term, "term").join(by_entity, "entity")
+    scored = pairs.join(both, ["entity", "term"])
     scored = scored.withColumn("share", F.col("with_both") / F.col("with_term")).withColumn("bits", F.log2(F.col("share") * n_texts / F.col("with_entity")))
     return scored.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).select("entity", "term", "contexts", "share", "bits")
 
