@@ -86,7 +86,7 @@ def latest(df: DataFrame, order: str, n: int, *conditions: Column) -> DataFrame:
 def decayed_top(df: DataFrame, importance: str, at: str, now: Column, n: int) -> DataFrame:
     """Top rows by importance over age in days plus one."""
     age = (F.unix_timestamp(now) - F.unix_timestamp(F.col(at))) / 86400.0
-    return df.withColumn("rank_score", F.col(importance) / (age + 1)).orderBy(F.desc("rank_score")).limit(n)
+    return df.withColumn("rank_score", F.try_divide(F.col(importance), age + 1)).orderBy(F.desc("rank_score")).limit(n)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -37,10 +37,10 @@ def t_test(df: DataFrame, group: str, measure: str, first, second, log: bool = F
     m = df.where(F.col(group).isin(first, second)).agg(
         F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("mean1"), F.avg(two).alias("mean2"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2"),
     )
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
+    pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2)
     gap = F.col("mean1") - F.col("mean2")
     return m.select(
-        "n1", "n2", "mean1", "mean2", (gap / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).alias("t"), (F.col("n1") + F.col("n2") - 2).alias("df"),
+        "n1", "n2", "mean1", "mean2", F.try_divide(gap, F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))).alias("t"), (F.col("n1") + F.col("n2") - 2).alias("df"),
         F.when(pooled > 0, gap / F.sqrt(pooled)).otherwise(0.0).alias("cohens_d"),
         F.when((F.col("mean1") > 0) & (F.col("mean2") > 0), F.log2(F.col("mean1") / F.col("mean2"))).alias("log2_fold_change"),
     )
@@ -52,8 +52,8 @@ def anova(df: DataFrame, group: str, measure: str) -> DataFrame:
     g = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("s2")).where("n > 0")
     t = g.agg(F.sum("n").alias("total"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum((F.col("n") - 1) * F.col("s2")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"))
     t = t.withColumn("between", F.col("squares") - F.col("total") * F.col("grand") * F.col("grand"))
-    f = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
-    return t.select("k", "total", f.alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("total") - F.col("k")).alias("df_within"), (F.col("between") / (F.col("between") + F.col("within"))).alias("eta_squared"))
+    f = F.try_divide(F.try_divide(F.col("between"), F.col("k") - 1), F.try_divide(F.col("within"), F.col("total") - F.col("k")))
+    return t.select("k", "total", f.alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("total") - F.col("k")).alias("df_within"), F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"))
 
 
 def linear_fit(df: DataFrame, x: str | Column, y: str | Column, by: Sequence[str] = ()) -> DataFrame:
@@ -62,10 +62,10 @@ def linear_fit(df: DataFrame, x: str | Column, y: str | Column, by: Sequence[str
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     m = df.groupBy(*by).agg(F.count(x).alias("n"), F.corr(x, y).alias("r"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
-    slope = F.col("c") / F.col("vx")
+    slope = F.try_divide("c", "vx")
     m = m.withColumn("slope", slope).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     m = m.withColumn("r_squared", F.col("r") * F.col("r"))
-    error = F.sqrt((F.col("vy") * (1 - F.col("r_squared"))) / F.col("vx") / (F.col("n") - 2))
+    error = F.sqrt(F.try_divide(F.try_divide(F.col("vy") * (1 - F.col("r_squared")), F.col("vx")), F.col("n") - 2))
     return m.withColumn("std_err", error).where("n >= 3").drop("c", "vx", "vy", "mx", "my")
 
 

@@ -296,6 +296,6 @@ def conversation_stats(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.max("turn").alias("last_turn"))
 
 
-@register("decayed_top", "SELECT o_orderkey, round(o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2000-01-01')+1),6) AS rank_score FROM orders ORDER BY o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2000-01-01')+1) DESC, o_orderkey LIMIT 25")
+@register("decayed_top", "SELECT o_orderkey, round(o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2030-01-01')+1),6) AS rank_score FROM orders ORDER BY o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2030-01-01')+1) DESC, o_orderkey LIMIT 25")
 def decayed_top(spark, d):
-    return c.decayed_top(table(spark, d, "orders"), "o_totalprice", "o_orderdate", F.lit("2000-01-01").cast("timestamp"), 25).select("o_orderkey", F.round("rank_score", 6).alias("rank_score"))
+    return c.decayed_top(table(spark, d, "orders"), "o_totalprice", "o_orderdate", F.lit("2030-01-01").cast("timestamp"), 25).select("o_orderkey", F.round("rank_score", 6).alias("rank_score"))
