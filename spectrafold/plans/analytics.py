@@ -12,6 +12,7 @@ from spectrafold.operators import relations as r
 from spectrafold.plans.tabular import rounded
 from spectrafold.registry import register
 from spectrafold.session import table
+from spectrafold.streaming import events as ev
 
 
 @register("barcode_join", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey")
@@ -254,7 +255,7 @@ def regression_metrics(spark, d):
     return rounded(ft.regression_metrics(df, "l_extendedprice", "guess"), 3)
 
 
-@register("cosine_neighbours", """WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) e FROM embeddings)
+@register("cosine_neighbours", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings)
 SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(q.e, v.e),6) AS similarity FROM v q JOIN v ON q.vec_id<>v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5""")
 def cosine_neighbours(spark, d):
     """A stated query set against all vectors; each task keeps its own best five before they meet."""
@@ -299,3 +300,16 @@ def conversation_stats(spark, d):
 @register("decayed_top", "SELECT o_orderkey, round(o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2030-01-01')+1),6) AS rank_score FROM orders ORDER BY o_totalprice/(date_diff('day', o_orderdate::DATE, DATE '2030-01-01')+1) DESC, o_orderkey LIMIT 25")
 def decayed_top(spark, d):
     return c.decayed_top(table(spark, d, "orders"), "o_totalprice", "o_orderdate", F.lit("2030-01-01").cast("timestamp"), 25).select("o_orderkey", F.round("rank_score", 6).alias("rank_score"))
+
+
+_HOURS = "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, round(sum(value),4) AS total, round(avg(value),4) AS mean FROM events GROUP BY 1,2,3"
+
+
+@register("windowed_events", _HOURS)
+def windowed_events(spark, d):
+    return rounded(ev.windowed(table(spark, d, "events")))
+
+
+@register("budget_periods")
+def budget_periods(spark, d):
+    return rounded(ev.budget_periods(table(spark, d, "events"), "event_type", "ts", "value", 7))
