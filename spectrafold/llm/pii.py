@@ -89,10 +89,11 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     n_texts = texts.count()
     # A word in more documents than its entity's over SHARE can't reach that share: common words stop here.
     pairs = scratch.put(pairs.join(by_term, "term").where(F.col("with_term") * SHARE <= F.col("with_entity")), "rare_pairs")
-    rare = scratch.put(pairs.select("term").distinct(), "rare")
-    few = rare.count() <= BROADCAST_ROWS
-    held = scratch.put(words.join(F.broadcast(rare) if few else rare, "term", "left_semi"), "held")
-    both = held.join(entities, "key").groupBy("entity", "term").agg(F.count("*").alias("with_both"))
+    # Documents that hold both: only those of the entities are looked at.
+    keys = scratch.put(entities.select("key").distinct(), "keys")
+    few = keys.count() <= BROADCAST_ROWS // 8
+    near = words.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    both = near.join(entities, "key").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("with_both"))
     scored = pairs.join(both, ["entity", "term"])
     scored = scored.withColumn("share", F.col("with_both") / F.col("with_term")).withColumn("bits", F.log2(F.col("share") * n_texts / F.col("with_entity")))
     return scored.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).select("entity", "term", "contexts", "share", "bits")
@@ -112,8 +113,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = hits.select("key", F.explode("entities").alias("e")).select("key", "e.entity", "e.around")
     texts = rows.select("key", "text")
     terms = scratch.put(disclosing_terms(texts, found, scratch).select("term").distinct(), "terms")
-    held = docs.sparkSession.read.parquet(scratch.path("held"))
-    per_row = scratch.put(held.join(terms, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")), "per_row")
+    few = terms.count() <= BROADCAST_ROWS
+    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    per_row = scratch.put(words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")), "per_row")
     slim = hits.drop("entities").dropDuplicates(["key"])
     extra = slim.join(per_row, "key", "full_outer")
     extra = scratch.put(extra, "extra")
