@@ -85,7 +85,9 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch) -> Da
     # Documents per word over the whole corpus, combined per task before the shuffle.
     words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     wanted = pairs.select("term").distinct()
-    by_term = scratch.put(words.groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi"), "by_term")
+    counted = scratch.put(words.groupBy("term").agg(F.count("*").alias("with_term")), "counted")
+    by_term = scratch.put(counted.join(wanted, "term", "left_semi"), "by_term")
+    scratch.drop("counted")
     n_texts = texts.count()
     # A word in more documents than its entity's over SHARE can't reach that share: common words stop here.
     pairs = scratch.put(pairs.join(by_term, "term").where(F.col("with_term") * SHARE <= F.col("with_entity")), "rare_pairs")
