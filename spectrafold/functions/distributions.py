@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -73,25 +74,25 @@ def upper_gamma(a, x) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|)."""
     return pd.Series(incomplete_beta(df / 2, 0.5, df / (df + t * t)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(F >= f)."""
     return pd.Series(incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(X >= x)."""
     return pd.Series(upper_gamma(df / 2, x / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|)."""
     return pd.Series(_erfc(np.abs(z) / math.sqrt(2)))

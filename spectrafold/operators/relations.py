@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrafold.session import cut_lineage
+
 
 def barcode(key: Column) -> Column:
     """A key without one trailing ``-N`` or ``.N``."""
@@ -136,13 +138,14 @@ def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     for k in range(1, depth + 1):
         step = ring.join(edges, ring.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         ring = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
-        reached = reached.unionByName(ring)
+        reached = cut_lineage(reached.unionByName(ring))
+        ring = reached.where(F.col("distance") == k)
     return reached.where("distance > 0")
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """Ranks after a fixed number of rounds over ``edges(src, dst)``; what dead ends hold is spread evenly."""
-    edges = edges.distinct()
+    edges = cut_lineage(edges.distinct())
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     spread = edges.join(out, "src")
@@ -151,6 +154,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
         lost = F.broadcast(ranks.join(out, ranks.id == out.src, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))
         got = spread.join(ranks, spread.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         ranks = ranks.join(got, ranks.id == got.dst, "left").crossJoin(lost).select("id", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("rank"))
+        ranks = cut_lineage(ranks)  # each round reads the ranks twice
     return ranks.select("id", "rank")
 
 

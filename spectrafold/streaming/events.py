@@ -25,7 +25,7 @@ def parse_time(text):
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 hour", time: str = "ts", value: str = "value", by: str = "event_type") -> DataFrame:
     """Count, sum and mean per tumbling window and kind; events later than the watermark are dropped."""
-    frame = events.withWatermark(time, late) if events.isStreaming else events
+    frame = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     out = frame.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "n", "total", "mean")
 
