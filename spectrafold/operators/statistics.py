@@ -61,8 +61,9 @@ def linear_fit(df: DataFrame, x: str | Column, y: str | Column, by: Sequence[str
     x, y = (present(c).cast("double") for c in (x, y))
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    m = df.groupBy(*by).agg(F.count(x).alias("n"), F.corr(x, y).alias("r"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    m = df.groupBy(*by).agg(F.count(x).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
     slope = F.try_divide("c", "vx")
+    m = m.withColumn("r", F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy"))))
     m = m.withColumn("slope", slope).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     m = m.withColumn("r_squared", F.col("r") * F.col("r"))
     error = F.sqrt(F.try_divide(F.try_divide(F.col("vy") * (1 - F.col("r_squared")), F.col("vx")), F.col("n") - 2))
