@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Words memoised per Python worker; the memo starts anew beyond that.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Bytes beyond which a word that fails is merged on its own.
 LONG_WORD = 64
 _NEVER = np.iinfo(np.int64).max
