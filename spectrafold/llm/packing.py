@@ -32,7 +32,7 @@ from spectrafold.llm._store import Scratch
 from spectrafold.llm.bpe import Vocabulary, _codec, _groups, public_vocabulary
 
 ROW_TOKENS = 2048
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 1_000_000
 PACKED = "pack_group int, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
 
 
