@@ -7,7 +7,7 @@
    through robust pruning, which drops a candidate that a kept one already
    leads to, and every edge is made mutual.  The shards' adjacency lists are
    united by vector.
-4. Every class is searched for from the shard's medoid: greedy steps to the
+4. Every class is searched for from the shard's medoid and its own vertex: greedy steps to the
    most similar unexpanded vector, and on as long as any seen within
    ``SLACK`` of the bound is unexpanded (range expansion).
 5. Links found are expanded once more through the united lists, across shards,
@@ -83,7 +83,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: f
 
 
 def range_search(x: np.ndarray, lists: list[np.ndarray], bound: float = BOUND, slack: float = SLACK, steps: int = STEPS, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, vector) pairs of similarity near ``bound`` or more, all vectors as queries, searched in step from the medoid."""
+    """(query, vector) pairs of similarity near ``bound`` or more, all vectors as queries, searched in step from the medoid and the query's own vertex."""
     n = len(x)
     width = max((len(v) for v in lists), default=0)
     table = np.full((n, max(1, width)), -1, dtype=np.int64)
@@ -97,6 +97,9 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], bound: float = BOUND, s
         open_ = np.full((len(q), n), -np.inf, dtype=np.float32)
         start = q @ small[medoid]
         seen[:, medoid] = open_[:, medoid] = start
+        # Its own neighbours are found however the steps from the medoid end.
+        own = np.arange(len(q))
+        seen[own, own + at] = open_[own, own + at] = 1.0
         live, step = np.arange(len(q)), 0
         while len(live):
             best = open_[live].argmax(1)

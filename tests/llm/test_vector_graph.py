@@ -35,3 +35,21 @@ def test_links_and_components(spark):
     assert got[data[-1][0]].component_id == data[-2][0]
     assert g.audit_recall(table.where("size(embedding) = 16 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(embedding, x -> x <> 0)"), result) >= 0.95
     assert g.near_vectors(table.limit(0)).count() == 0
+
+
+def test_recall_over_many_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = []
+    for _ in range(8):  # groups wider than the pool of candidates leave a shard's graph in pieces
+        base = rng.normal(size=24)
+        base /= np.linalg.norm(base)
+        for _ in range(150):
+            data.append((len(data), (base + rng.normal(size=24) * 0.05).astype(np.float32).tolist(), 0))
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    true = sum(map(len, g.brute_force(data).values()))
+    for shard in (g.SHARD, 100):
+        monkeypatch.setattr(g, "SHARD", shard)
+        result = g.near_vectors(table).cache()
+        found = sum(r.n_links for r in result.collect())
+        assert 0.97 * true <= found <= true, shard
+        assert g.audit_recall(table, result) >= 0.95
