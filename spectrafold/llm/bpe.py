@@ -1,11 +1,14 @@
 """Byte-level BPE by speculation and verification.
 
-A word (a match of the pre-tokenizer's pattern) is first cut greedily into the
+Texts are cut into words (matches of the pre-tokenizer's pattern) all at once, by
+classes of code points.  A word is first cut greedily into the
 longest vocabulary entries.  That guess is what BPE yields exactly when each
 token forms by itself and no adjacent pair would have been merged across its
 border earlier; both are tested for all words of a batch at once, with numpy.
 Only words that fail are merged rank by rank.  Words are memoised per Python
-worker in a table of bounded size, so frequent words cost one lookup.
+worker in arrays of bounded size, by a 64-bit hash, so frequent words cost one
+lookup.  Texts are handled in runs of ``RUN`` characters; a longer text is cut
+before white space that follows another character, where a word ends anyway.
 
 The work is a map over rows without a shuffle.  The vocabulary file is read on
 the driver (its path is a parameter) and broadcast; its size is fixed by the
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrafold.llm._text import _Powers, mix
+
 #: Unicode white space as the tokenizers library sees it (Python's own class holds four control characters more).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -36,7 +42,11 @@ PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N
 MEMO_WORDS = 150_000
 #: Bytes beyond which a word that fails is merged on its own.
 LONG_WORD = 64
+#: Characters handled in step.
+RUN = 512 << 10
 _NEVER = np.iinfo(np.int64).max
+_LETTER, _NUMBER, _BLANK = 1, 2, 3
+_CUT = regex.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,6 +56,50 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """The class of every code point; 0 is none of the others."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), dtype=np.uint8)
+    for kind, said in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, f"[{_SPACE}]+")):
+        for m in regex.finditer(said, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pattern's matches begin in texts that lie one after the other; ``first`` holds where texts begin."""
+    n, kind = len(codes), _kinds()[codes]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[first] = True
+    begins[n] = True
+    change = begins[:-1].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(change)
+    end = np.r_[run[1:], n]
+    blank = kind[run] == _BLANK
+    out = np.zeros(n + 3, dtype=bool)
+    # White space before a word leaves its last character to it, if that is a blank, or else by itself.
+    out[run] = True
+    before = blank & ~begins[end]
+    out[end[before] - 1] = True
+    joined = end[before][codes[end[before] - 1] == 0x20]
+    out[joined] = False
+    # Contractions: an apostrophe of its own before certain letters.
+    mark = run[(codes[run] == 0x27) & (end - run == 1) & out[run] & ~begins[end]]
+    pad = np.r_[codes, 0, 0, 0]
+    inside = np.r_[(kind == _LETTER) & ~begins[:-1], False, False, False]
+    mark = mark[inside[mark + 1]]
+    one, two = pad[mark + 1], pad[mark + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    pair = ~short & inside[mark + 2] & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+    for some, size in ((mark[short], 2), (mark[pair], 3)):
+        out[some + 1] = False
+        rest = some + size
+        out[rest[inside[rest]]] = True
+    return np.flatnonzero(out[:n])
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file, as plain arrays."""
 
@@ -133,12 +187,15 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        # No word of the pattern equals a special token's string, so both share the memo.
-        self.memo: dict[str, list[int]] = {s: [i] for s, i in vocabulary.special.items()}
-        self.find = regex.compile(PATTERN).findall
         said = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, said)) + ")") if said else None
         self.merged = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo: sorted hashes of words, where their ids begin in ``flat``, and how many they are."""
+        self.keys, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _guess(self, word: bytes) -> list[int]:
         ids, reach, at, out = self.v.ids, self.v.reach, 0, []
@@ -232,8 +289,8 @@ class Codec:
                 heapq.heappush(heap, (m[0], k, out[k], whole, m[1]))
         return [t for t in out if t >= 0]
 
-    def learn(self, words: list[str]) -> None:
-        """Put words into the memo: guess all, verify all pairs at once, merge those that fail."""
+    def learn(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: guess all, verify all pairs at once, merge those that fail."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         guesses = [self._guess(b) for b in raw]
         sizes = np.fromiter(map(len, guesses), dtype=np.int64, count=len(guesses))
@@ -250,32 +307,99 @@ class Codec:
         for i, ids in zip(failed, self._merge([raw[i] for i in failed])):
             guesses[i] = ids
         self.merged += len(failed)
-        self.memo.update(zip(words, guesses))
-
-    def _split(self, text: str) -> list[str]:
-        if self.special is None or not any(s in text for s in self.v.special):
-            return self.find(text)
-        out: list[str] = []
-        for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else self.find(part)
-        return out
+        return guesses
+
+    def _remember(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))]
+        keys, begin, size = np.r_[self.keys, keys], np.r_[self.begin, begin], np.r_[self.size, size]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one after the other, and how many each has."""
+        said = "".join(texts)
+        if not said:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        codes = np.frombuffer(said.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        edge = np.r_[0, np.cumsum(size)]
+        start = word_starts(codes, edge[:-1][size > 0])
+        end = np.r_[start[1:], len(codes)]
+        up, down = _Powers.upto(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+        keys, one, which = np.unique(mix((sums[end] - sums[start]) * down[start]), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > MEMO_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        met = at < len(self.keys)
+        new[met] = self.keys[at[met]] != keys[met]
+        if new.any():
+            self._remember(keys[new], self.learn([said[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())]))
+            at = np.searchsorted(self.keys, keys)
+        begin, count = self.begin[at][which], self.size[at][which]
+        total = np.r_[0, np.cumsum(count)]
+        ids = self.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(start, edge)])
+
+    def _parts(self, text: str) -> Iterator[str | int]:
+        """Ids of special tokens, and what lies between them in pieces of bounded length."""
+        if self.special is not None and any(s in text for s in self.v.special):
+            for i, part in enumerate(self.special.split(text)):
+                if i % 2:
+                    yield self.v.special[part]
+                elif part:
+                    yield from _pieces(part)
+        else:
+            yield from _pieces(text)
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        out, counts = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+        held, owner, size = [], [], 0
+
+        def flush():
+            nonlocal held, owner, size
+            if held:
+                ids, n = self._run(held)
+                out.append(ids)
+                np.add.at(counts, owner, n)
+            held, owner, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            for part in self._parts(text) if text else ():
+                if isinstance(part, int):
+                    flush()
+                    out.append(np.array([part], dtype=np.int32))
+                    counts[i] += 1
+                else:
+                    held.append(part)
+                    owner.append(i)
+                    size += len(part)
+                    if size >= RUN:
+                        flush()
+        flush()
+        return np.concatenate(out), counts
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self._split(t) if t else [] for t in texts]
-        seen = set(chain.from_iterable(split))
-        new = [w for w in seen if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {s: [i] for s, i in self.v.special.items()}
-            new = [w for w in seen if w not in self.memo]
-        if new:
-            self.learn(new)
-        get = self.memo.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        flat, counts = self.encode_flat(texts)
+        return [ids.tolist() for ids in np.split(flat, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > RUN and (cut := _CUT.search(text, at + RUN)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 _CODECS: dict[int, Codec] = {}
 
 
@@ -293,7 +417,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str | None]]:
+def _groups(texts: list[str | None], limit: int = RUN) -> Iterator[list[str | None]]:
     out, size = [], 0
     for t in texts:
         out.append(t)
@@ -314,7 +438,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         for batch in batches:
             at = 0
             for group in _groups(batch.column(1).to_pylist()):
-                ids = pa.array(codec.encode(group), pa.list_(pa.int32()))
+                flat, counts = codec.encode_flat(group)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), ids], names=[id_col, "ids"])
                 at += len(group)
 
@@ -346,8 +471,10 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
         for batch in batches:
             counts, coded, decoded = [], [], []
             for group in _groups(batch.column(1).to_pylist()):
-                for ids in codec.encode(group):
-                    counts.append(len(ids))
+                flat, sizes = codec.encode_flat(group)
+                counts += sizes.tolist()
+                for ids in np.split(flat, np.cumsum(sizes)[:-1]):
+                    ids = ids.tolist()
                     coded.append(hashlib.sha256(",".join(map(said.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]

@@ -14,8 +14,10 @@ cumulative segment lengths, and position ids that restart at each segment, with
 the document and piece of each segment.  ``unpack`` restores the documents.
 
 Defined results: null and empty texts give a document of the end mark alone;
-rows that repeat an id are separate documents of that id; an empty table gives
-no rows; other columns are not read.
+rows that repeat an id are separate documents of that id, told apart by ``copy``,
+a hash of the text, so that rows equal in both come back as equal pieces; ids may
+be of any type, and null; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from spectrafold.llm.bpe import Vocabulary, _codec, _groups, public_vocabulary
 
 ROW_TOKENS = 2048
 GROUP_TOKENS = 1_000_000
-PACKED = "pack_group int, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
+PACKED = "pack_group int, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<{}>, copies array<long>, pieces array<int>"
 
 
 class Rooms:
@@ -88,40 +90,42 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = ROW_TOKENS,
     kind = np.dtype("<u2" if vocabulary.size <= 1 << 16 else "<u4")
     end = next(iter(vocabulary.special.values()), vocabulary.size - 1)
 
+    width = kind.itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             at = 0
-            for group in _groups(batch.column(1).to_pylist()):
-                doc, piece, size, ids = [], [], [], []
-                for k, said in enumerate(codec.encode(group)):
-                    flat = np.array([*said, end], dtype=kind)
-                    for p, a in enumerate(range(0, len(flat), capacity)):
-                        part = flat[a : a + capacity]
-                        doc.append(at + k)
-                        piece.append(p)
-                        size.append(len(part))
-                        ids.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "n_tokens", "ids"],
-                )
+            for group in _groups(batch.column(2).to_pylist()):
+                flat, counts = codec.encode_flat(group)
+                stop = np.cumsum(counts + 1)
+                ids = np.full(int(stop[-1]), end, dtype=kind)
+                ids[np.arange(len(flat)) + np.repeat(np.arange(len(group)), counts)] = flat
+                parts = -(-(counts + 1) // capacity)
+                doc = np.repeat(np.arange(len(group)), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                begin = (stop - counts - 1)[doc] + piece * capacity
+                size = np.minimum(stop[doc] - begin, capacity)
+                cut = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((np.r_[begin, stop[-1]] * width).astype(np.int32)), pa.py_buffer(ids)])
+                own = pa.array(doc + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), cut], names=["doc_id", "copy", "piece", "n_tokens", "ids"])
                 at += len(group)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, n_tokens int, ids binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, copy long, piece int, n_tokens int, ids binary")
 
 
 def _packer(capacity: int, width: int, end: int):
     kind = np.dtype(f"<u{width}")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "doc_id", "piece", "ids"], ascending=[False, True, True, True], kind="stable")
+        part = part.sort_values(["n_tokens", "copy", "piece", "doc_id"], ascending=[False, True, True, True], kind="stable")
         group = int(part["pack_group"].iloc[0])
         place = np.array(best_fit(part["n_tokens"].tolist(), capacity))
         order = np.argsort(place, kind="stable")
         part, place = part.iloc[order], place[order]
         cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-        sizes, docs, parts, ids = (part[c].to_numpy() for c in ("n_tokens", "doc_id", "piece", "ids"))
+        sizes, docs, copies, parts, ids = (part[c].to_numpy() for c in ("n_tokens", "doc_id", "copy", "piece", "ids"))
         out = []
         for a, b in zip(cut, cut[1:]):
             n = int(sizes[a:b].sum())
@@ -129,8 +133,8 @@ def _packer(capacity: int, width: int, end: int):
             ends = [0, *np.cumsum(sizes[a:b]).tolist()]
             positions = np.zeros(capacity, dtype=kind)
             positions[:n] = np.concatenate([np.arange(s, dtype=kind) for s in sizes[a:b]])
-            out.append((group, int(place[a]), b"".join(ids[a:b]) + pad, n, ends, positions.tobytes(), docs[a:b].tolist(), parts[a:b].tolist()))
-        return pd.DataFrame(out, columns=["pack_group", "row", "ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "pieces"])
+            out.append((group, int(place[a]), b"".join(ids[a:b]) + pad, n, ends, positions.tobytes(), docs[a:b].tolist(), copies[a:b].tolist(), parts[a:b].tolist()))
+        return pd.DataFrame(out, columns=["pack_group", "row", "ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "copies", "pieces"])
 
     return run
 
@@ -138,19 +142,19 @@ def _packer(capacity: int, width: int, end: int):
 def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = ROW_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows, as ``PACKED`` says."""
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.put(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces", 2000)
+    cut = scratch.put(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces", 1000)
     total = cut.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)).cast("int"))
     end = next(iter(vocabulary.special.values()), vocabulary.size - 1)
-    return dealt.groupBy("pack_group").applyInPandas(_packer(capacity, 2 if vocabulary.size <= 1 << 16 else 4, end), PACKED)
+    return dealt.groupBy("pack_group").applyInPandas(_packer(capacity, 2 if vocabulary.size <= 1 << 16 else 4, end), PACKED.format(cut.schema["doc_id"].dataType.simpleString()))
 
 
 def unpack(packed: DataFrame, width: int = 2) -> DataFrame:
-    """``(doc_id, piece, ids)`` of every segment, cut out of the rows again."""
-    each = packed.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "pieces")).alias("k", "s"))
+    """``(doc_id, copy, piece, ids)`` of every segment, cut out of the rows again; a document's pieces in order are its ids."""
+    each = packed.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces")).alias("k", "s"))
     start, stop = F.col("cu_seqlens")[F.col("k")], F.col("cu_seqlens")[F.col("k") + 1]
-    return each.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.pieces").alias("piece"), F.substring("ids", start * width + 1, (stop - start) * width).alias("ids"))
+    return each.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.copies").alias("copy"), F.col("s.pieces").alias("piece"), F.substring("ids", start * width + 1, (stop - start) * width).alias("ids"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

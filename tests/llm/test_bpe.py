@@ -37,10 +37,18 @@ def test_equals_the_library(vocabulary, library):
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     codec = bpe.Codec(vocabulary)
     assert codec.encode(texts) == want
-    assert 0 < codec.merged < len(codec.memo)
+    assert 0 < codec.merged < len(codec.keys)
     assert [codec.decode(ids) for ids in want] == [library.decode(ids, skip_special_tokens=False) for ids in want]
 
 
+def test_long_text_is_cut_where_words_end(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "RUN", 64)
+    rng = random.Random(4)
+    pool = ["  ", "\n\n", " ", "'s", "word", "größe", "12", "!!", "<|endoftext|>", "x" * 90]
+    texts = ["".join(rng.choices(pool, k=600)) for _ in range(5)]
+    assert bpe.Codec(vocabulary).encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_small_memo(vocabulary, library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 50)
     texts, codec = samples()[:300], bpe.Codec(vocabulary)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectrafold.llm import bpe, packing
 
@@ -56,3 +57,16 @@ def test_round_trip(spark):
     total = sum(r.n_tokens for r in got)
     assert total / (128 * len(got)) > 0.95
     assert packing.pack(docs.limit(0), vocabulary).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    said = [("a", "one two " * 150), ("a", "three four " * 150), ("a", "three four " * 150), (None, "five")]
+    docs = spark.createDataFrame(said, "key string, text string").withColumn("copy", F.lit("clash")).withColumn("ids", F.lit(1))
+    vocabulary = bpe.public_vocabulary()
+    rows = packing.unpack(packing.pack(docs, vocabulary, 64, id_col="key")).collect()
+    back = {}
+    for r in rows:
+        back.setdefault((r.doc_id, r.copy), {}).setdefault(r.piece, []).append(np.frombuffer(r.ids, dtype="<u2").tolist())
+    codec, end = bpe.Codec(vocabulary), vocabulary.special["<|endoftext|>"]
+    restored = sorted((doc or "", sum((parts[p][k] for p in sorted(parts)), [])) for (doc, _), parts in back.items() for k in range(len(parts[0])))
+    assert restored == sorted((doc or "", codec.encode([text])[0] + [end]) for doc, text in said)
