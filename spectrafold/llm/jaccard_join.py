@@ -3,8 +3,8 @@
 A text's set holds the hashes of its distinct 5-word shingles.  Two sets of
 similarity t or more share a token among the first ``n - ceil(t n) + 1`` tokens
 of each, under any global order.  Candidates are generated under one order that
-puts rare tokens first, must also share a prefix token under two further,
-independent orders, and are then verified on whole sets.
+puts rare tokens first, must also share a prefix token under each of two further,
+independent orders, and only pairs that pass all three are verified on whole sets.
 
 Stages, all linear in the input but for pairs that share rare tokens:
 
@@ -14,16 +14,20 @@ Stages, all linear in the input but for pairs that share rare tokens:
    gives the same result).
 2. Prefix tokens per class, once per task, with their places; tokens of a
    single class go.
-3. Stars: each class is verified against one pivot, the most central class on
-   most of its tokens, and components are formed; a large group of near copies
-   collapses here with one pair per member.
-4. Cross pairs: of the tokens that still hold several components, pairs of
-   classes in different components are verified; links within a component
-   can't change it.
+3. Stars: each class has one leader, the most central class on most of its
+   tokens, and is verified against it, and components are formed; a large group
+   of near copies collapses here with one pair per member.
+4. Kin: two classes of one leader p differ by what their differences from p
+   differ by.  If one of them is no link of p, both must share a good part of
+   their differences, so candidates are those that share a token early enough
+   among the differences; tokens that all of a large group have don't count.
+5. Cross pairs: of the tokens that still hold several components, pairs of
+   classes of different leaders in different components are verified; links
+   within a component can't change it.
 
 Pairs whose last shared prefix token comes too late for the shared tokens
-before it are dropped before any set is read (the positional bound); only texts
-of the pairs that remain are split again for verification.
+before it are dropped (the positional bound).  Pairs that remain must share
+prefix tokens under the two further orders before any whole set is read.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a text of fewer words is one shingle; rows with the same id count
@@ -71,12 +75,12 @@ def _prefix(n: int, percent: int) -> int:
     return n + 1 - -(-n * percent // 100)
 
 
-def _first(tokens: np.ndarray, order: int, percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    """The prefix tokens of a set under one of the orders, in that order."""
+def _first(tokens: np.ndarray, order: int, percent: int, common: np.ndarray | None = None, p: int | None = None) -> np.ndarray:
+    """The prefix tokens of a set under one of the orders, or its first ``p``, in that order."""
     key = mix(tokens ^ _ORDERS[order])
     if common is not None:
         key = (key >> np.uint64(8)) | (common[(tokens & np.uint64(_CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56))
-    p = _prefix(len(tokens), percent)
+    p = _prefix(len(tokens), percent) if p is None else p
     some = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
     return tokens[some[np.argsort(key[some])]]
 
@@ -145,42 +149,49 @@ def _prefixes(common, size: int, percent: int):
     return run
 
 
-def _whole_sets(id_col: str, size: int):
+def _whole_sets(id_col: str, size: int, percent: int):
+    """Sorted tokens of each set, and its prefix tokens under the two further orders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows).view(np.int64)))
         for batch in batches:
-            at = 0
+            at, held = 0, 0
             out: list[bytes] = []
-            held = 0
+            firsts: list[list[np.ndarray]] = [[], []]
+
+            def told():
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary()), lists(firsts[0]), lists(firsts[1])], names=[id_col, "tokens", "one", "two"])
+
             for k, tokens in enumerate(_sets(batch.column(1), size)):
                 out.append(tokens.tobytes())
+                for order in (1, 2):
+                    firsts[order - 1].append(_first(tokens, order, percent) if len(tokens) else tokens)
                 held += len(out[-1])
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=[id_col, "tokens"])
-                    at, out, held = k + 1, [], 0
+                    yield told()
+                    at, out, firsts, held = k + 1, [], [[], []], 0
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=[id_col, "tokens"])
+                yield told()
 
     return run
 
 
-def _verifier(percent: int):
-    def overlap(x: np.ndarray, y: np.ndarray) -> int:
-        """Of two sorted sets."""
-        if len(x) > len(y):
-            x, y = y, x
-        if not len(x):
-            return 0
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        return int((y[at] == x).sum())
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
+
+def _verifier(percent: int):
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
             return False
-        for order in (1, 2):
-            if not np.isin(_first(x, order, percent), _first(y, order, percent)).any():
-                return False
-        both = overlap(x, y)
+        both = _overlap(x, y)
         return 100 * both >= percent * (len(x) + len(y) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +203,36 @@ def _verifier(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, id_col: str, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose sets are similar. The set of ``a`` travels; the joins on hot ``b`` can be split."""
-    kind = sets.schema[id_col].dataType.simpleString()
-    left = sets.select(F.col(id_col).alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col(id_col).alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verifier(percent), f"a {kind}, b {kind}")
+def _differences(common, percent: int):
+    """Of each class (a), its leader (b) and both sets: the first tokens of the symmetric difference.
+
+    ``far`` classes are no links of their leader.  A pair with a far class shares
+    so much of either difference that one of the shared tokens lies in the far
+    one's first ``n / 4`` or so and in the other one's ``early`` part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, told = [], []
+            for i in range(len(batch)):
+                x, p = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
+                apart = np.setxor1d(x, p, assume_unique=True)
+                d, n, slack = len(apart), len(x), 100 - percent
+                # The most by which a partner's set can differ from this one.
+                most = (n + n * 100 // percent) * slack // (100 + percent)
+                some = _first(apart, 0, percent, common.value, min(d, most + 1)) if d else apart
+                least = -(-(d * (100 + percent) + (len(p) - n) * slack) // (2 * (100 + percent)))
+                rows.append(some)
+                told.append((i, len(some), n, d, d * (100 + percent) > (n + len(p)) * slack, d - max(least, 1)))
+            if not told:
+                continue
+            i, m, n, d, far, early = (np.array(v) for v in zip(*told))
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in m])
+            own = pa.array(np.repeat(i, m))
+            columns = [np.concatenate(rows).view(np.int64), np.repeat(n, m).astype(np.int32), np.repeat(d, m).astype(np.int32), at, np.repeat(far, m), at <= np.repeat(early, m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *map(pa.array, columns)], names=["rep", "leader", "token", "n", "d", "at", "far", "early"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -228,39 +263,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     possible = f"(times + least(n_a - 1 - last.at_a, n_b - 1 - last.at_b)) * {100 + percent} >= (n_a + n_b) * {percent} AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
     met_at = [F.count("*").alias("times"), F.max(F.struct("at_a", "at_b")).alias("last"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b")]
 
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        some = scratch.put(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), f"{name}-ids")
+        return scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size, percent), f"`{id_col}` {kind}, tokens binary, one array<long>, two array<long>"), f"{name}-sets", 2000)
+
+    def with_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The set of ``a`` travels; the joins on hot ``b`` can be split."""
+        left = sets.select(F.col(id_col).alias("a"), F.col("tokens").alias("x"))
+        right = sets.select(F.col(id_col).alias("b"), F.col("tokens").alias("y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.put(pairs.select("a", "b"), f"{name}-pairs")
-        some = scratch.put(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), f"{name}-ids")
-        sets = scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size), f"`{id_col}` {kind}, tokens binary"), f"{name}-sets", 2000)
-        out = scratch.put(_verified(pairs, sets, id_col, percent), name, 64)
-        scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
+        sets = sets_of(pairs, name)
+        firsts = lambda end: sets.select(F.col(id_col).alias(end), F.col("one").alias(f"one_{end}"), F.col("two").alias(f"two_{end}"))
+        # The filters of the three orders are intersected here: two rows of a set hold no more than its prefixes.
+        met = pairs.join(firsts("a"), "a").join(firsts("b"), "b").where(F.arrays_overlap("one_a", "one_b") & F.arrays_overlap("two_a", "two_b"))
+        met = scratch.put(met.select("a", "b"), f"{name}-met")
+        out = scratch.put(with_tokens(met, sets).mapInArrow(_verifier(percent), f"a {kind}, b {kind}"), name, 64)
+        scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets", f"{name}-met")
         return out
 
-    # 3. One pivot per class. Of a token's classes the pivot is the one whose tokens are the most widely shared: of near
+    # 3. One leader per class. Of a token's classes it is the one whose tokens are the most widely shared: of near
     # copies that is the text they derive from, which lies nearer to each than they do to each other.
     mine = entries.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     middle = entries.groupBy("rep").agg((F.sum("share") / F.max("n")).alias("middle"))
     pivots = entries.join(middle, "rep").groupBy("token").agg(F.max(F.struct("middle", "rep", "n", "at")).alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
-    stars = mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).where(possible)
-    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = verified(stars, "stars")
+    stars = mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).withColumn("fits", F.expr(possible))
+    stars = stars.groupBy("a").agg(F.max(F.struct("fits", "times", "b")).alias("s")).select("a", "s.b", "s.fits")
+    stars = scratch.put(stars, "leaders")
+    links = verified(stars.where("fits"), "stars")
     first = connected_components(links, scratch, "first")
-    # 4. Pairs across components.
-    placed = entries.join(first, entries.rep == first.id, "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("place"))
-    met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("token")
+    # 4. Pairs of one leader in different components.
+    led = scratch.put(stars.join(first, stars.a == first.id, "left").select("a", "b", F.coalesce("component", "a").alias("place")), "led")
+    open_ = scratch.put(led.groupBy("b").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("b"), "open")
+    kin = scratch.put(led.join(open_, "b", "left_semi").select("a", "b"), "kin-of")
+    deltas = with_tokens(kin, sets_of(kin, "kin-of")).mapInArrow(_differences(shared, percent), f"rep {kind}, leader {kind}, token long, n int, d int, at int, far boolean, early boolean")
+    deltas = scratch.put(deltas, "deltas", 64)
+    deltas = deltas.join(led.select(F.col("a").alias("rep"), "place"), "rep")
+    build = deltas.where("far").select("leader", "token", F.col("rep").alias("a"), F.col("place").alias("place_a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"))
+    probe = deltas.where("early").select("leader", "token", F.col("rep").alias("b"), F.col("place").alias("place_b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"))
+    least = f"CEIL((d_a + d_b - FLOOR((n_a + n_b) * {100 - percent} / {100 + percent})) / 2)"
+    near = build.join(probe, ["leader", "token"]).where(f"place_a <> place_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND at_a <= d_a - {least} AND at_b <= d_b - {least}")
+    kin_links = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "kin")
+    scratch.drop("deltas", "kin-of", "kin-of-ids", "kin-of-sets", "open")
+    # 5. Pairs across components and leaders.
+    placed = entries.join(first, entries.rep == first.id, "left").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left")
+    placed = placed.select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("place"), F.coalesce("leader", "rep").alias("leader"))
+    met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.min("leader").alias("one"), F.max("leader").alias("other")).where("least <> most AND one <> other").select("token")
     placed = scratch.put(placed.join(met, "token", "left_semi"), "placed")
     scratch.drop("entries")
-    # Members of a component with equal size and place are one row until a pair of such rows can hold a link at all.
-    places = placed.groupBy("token", "place", "n", "at").agg(F.count("*").alias("members")).select("token", "place", F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    other = places.select("token", F.col("place").alias("place_b"), F.col("n_a").alias("n_b"), F.col("at_a").alias("at_b"))
+    # Members of a component with equal leader, size and place are one row until a pair of such rows can hold a link at all.
+    alike = ["token", "place", "leader", "n", "at"]
+    places = placed.groupBy(*alike).agg(F.count("*").alias("members")).select("token", "place", "leader", F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    other = places.select("token", F.col("place").alias("place_b"), F.col("leader").alias("leader_b"), F.col("n_a").alias("n_b"), F.col("at_a").alias("at_b"))
     one_token = f"(least(at_a, at_b) + 1 + least(n_a - 1 - at_a, n_b - 1 - at_b)) * {100 + percent} >= (n_a + n_b) * {percent}"
-    meets = places.join(other, "token").where(f"place < place_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND {one_token}")
-    mine = placed.select("token", "place", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    theirs = placed.select("token", F.col("place").alias("place_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    cross = meets.join(mine, ["token", "place", "n_a", "at_a"]).join(theirs, ["token", "place_b", "n_b", "at_b"])
+    meets = places.join(other, "token").where(f"place < place_b AND leader <> leader_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND {one_token}")
+    mine = placed.select("token", "place", "leader", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    theirs = placed.select("token", F.col("place").alias("place_b"), F.col("leader").alias("leader_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    cross = meets.join(mine, ["token", "place", "leader", "n_a", "at_a"]).join(theirs, ["token", "place_b", "leader_b", "n_b", "at_b"])
     more = verified(cross.groupBy("a", "b").agg(*met_at).where(possible), "cross")
-    scratch.drop("placed")
-    found = connected_components(links.union(more), scratch, "second")
+    scratch.drop("placed", "leaders", "led")
+    found = connected_components(links.union(kin_links).union(more), scratch, "second")
     roots = classes.join(found, classes.rep == found.id, "left").select("one", "two", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(roots, (signed.one == roots.one) & (signed.two == roots.two) & (signed.n == roots["size"]), "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
