@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,18 +14,32 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a fresh local one if Spark runs in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+#: Bytes of an Arrow batch handed to Python, so that long texts don't pile up there.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers hold at most about ``BATCH_BYTES``, whatever the rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or not str(said).isdigit() or int(said) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder during one operator call.
 
@@ -36,6 +51,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -52,6 +68,10 @@ class Scratch:
             self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def release(self) -> None:
+        """Have Spark remove the shuffle files of steps whose results are written: it does so once the driver collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
