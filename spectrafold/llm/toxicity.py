@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm._store import Scratch
+from spectrafold.llm._store import Scratch, bounded_batches
 from spectrafold.llm._text import ALNUM, Words, _Powers, mix, split_words, text_chunks
 
 #: Fixed list of English insults; the first voter.
@@ -291,6 +291,7 @@ def _looked(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFr
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score, in one map."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
