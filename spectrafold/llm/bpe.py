@@ -134,11 +134,7 @@ class Vocabulary:
         self.made = np.array(made, dtype=np.int64)
         self.byte_ids = np.array([named[bytes((b,))] for b in range(256)], dtype=np.int64)
         self.size = size
-        # The longest token by its first three bytes.
-        self.reach: dict[bytes, int] = {}
-        for piece in named:
-            if len(piece) > 2:
-                self.reach[piece[:3]] = max(len(piece), self.reach.get(piece[:3], 0))
+        self._grow_trie(named)
         # A token whose own halves don't stay whole until it forms never comes out of merging.
         built = np.flatnonzero(self.born >= 0)
         sound = self._keeps(self.left[built], self.right[built], self.born[built])
@@ -148,6 +144,49 @@ class Vocabulary:
         for t in built[np.argsort(self.born[built])].tolist():
             self.sound[t] = good[t] and self.sound[self.left[t]] and self.sound[self.right[t]]
 
+    def _grow_trie(self, named: dict[bytes, int]) -> None:
+        """Prefixes of tokens as numbered nodes, with the token that ends at each, and steps between them in a sparse table."""
+        nodes, ends, steps = {b"": 0}, [-1], []
+        for piece, i in named.items():
+            at = 0
+            for k in range(1, len(piece) + 1):
+                code = at << 8 | piece[k - 1]
+                at = nodes.setdefault(piece[:k], len(nodes))
+                if at == len(ends):
+                    ends.append(-1)
+                    steps.append((code, at))
+            ends[at] = i
+        self.ends = np.array(ends, dtype=np.int64)
+        codes, targets = np.array(steps, dtype=np.int64).T
+        self.step_bits = int(len(codes) * 4).bit_length()
+        self.step_code, self.step_to = np.full(1 << self.step_bits, -1, dtype=np.int64), np.full(1 << self.step_bits, -1, dtype=np.int64)
+        slot, left = self._slot(codes), np.arange(len(codes))
+        while len(left):  # of codes that meet in a slot one takes it, the others move on
+            free = left[self.step_code[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            took = free[one]
+            self.step_code[slot[took]], self.step_to[slot[took]] = codes[took], targets[took]
+            left = np.setdiff1d(left, took, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.step_bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.step_bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node that a byte leads to, or -1."""
+        codes = node << 8 | byte
+        slot = self._slot(codes)
+        out, found = self.step_to[slot], self.step_code[slot]
+        out[found != codes] = -1
+        far = np.flatnonzero((found != codes) & (found >= 0))
+        while len(far):
+            slot[far] = (slot[far] + 1) & ((1 << self.step_bits) - 1)
+            found = self.step_code[slot[far]]
+            hit = found == codes[far]
+            out[far[hit]] = self.step_to[slot[far[hit]]]
+            far = far[~hit & (found >= 0)]
+        return out
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a * self.size + b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
@@ -198,15 +237,35 @@ class Codec:
         self.keys, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _guess(self, word: bytes) -> list[int]:
-        ids, reach, at, out = self.v.ids, self.v.reach, 0, []
-        while at < len(word):
-            end = at + reach.get(word[at : at + 3], 2)
-            while (t := ids.get(word[at:end])) is None:
-                end -= 1
-            out.append(t)
-            at = end
-        return out
+    def _guess(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words in step: ids, word by word, and the word of each."""
+        word, at = np.arange(len(begin)), begin.copy()
+        stop, node, last, last_end = end, np.zeros(len(begin), dtype=np.int64), np.full(len(begin), -1), begin.copy()
+        ids, owner = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        data = np.r_[data, np.zeros(1, dtype=np.uint8)].astype(np.int64)
+        while len(word):
+            to = self.v.step(node, data[at])
+            to[at >= stop] = -1
+            on = to >= 0
+            node = np.where(on, to, 0)
+            at = at + on
+            token = self.v.ends[node]
+            whole = on & (token >= 0)
+            last, last_end = np.where(whole, token, last), np.where(whole, at, last_end)
+            off = np.flatnonzero(~on)
+            if len(off):
+                ids.append(last[off])
+                owner.append(word[off])
+                at[off] = last_end[off]
+                last[off] = -1
+                done = off[at[off] >= stop[off]]
+                if len(done):
+                    live = np.ones(len(word), dtype=bool)
+                    live[done] = False
+                    word, at, stop, node, last, last_end = (x[live] for x in (word, at, stop, node, last, last_end))
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
 
     def _merge(self, words: list[bytes]) -> list[list[int]]:
         """Exact merging of many words in step.
@@ -290,30 +349,29 @@ class Codec:
                 heapq.heappush(heap, (m[0], k, out[k], whole, m[1]))
         return [t for t in out if t >= 0]
 
-    def learn(self, words: list[str]) -> list[list[int]]:
-        """Ids of words: guess all, verify all pairs at once, merge those that fail."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        guesses = [self._guess(b) for b in raw]
-        sizes = np.fromiter(map(len, guesses), dtype=np.int64, count=len(guesses))
-        flat = np.fromiter(chain.from_iterable(guesses), dtype=np.int64, count=int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        bad = np.zeros(len(words), dtype=bool)
+    def learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, word by word, and how many each has: guess all, verify all pairs at once, merge those that fail."""
+        flat, owner = self._guess(data, begin, end)
+        bad = np.zeros(len(begin), dtype=bool)
         bad[owner[~self.v.sound[flat]]] = True
         inner = owner[1:] == owner[:-1]
         a, b = flat[:-1][inner], flat[1:][inner]
         pairs, which = np.unique(a * self.v.size + b, return_inverse=True)
         keeps = self.v._keeps(pairs // self.v.size, pairs % self.v.size)
         bad[owner[1:][inner][~keeps[which]]] = True
-        failed = np.flatnonzero(bad).tolist()
-        for i, ids in zip(failed, self._merge([raw[i] for i in failed])):
-            guesses[i] = ids
+        failed = np.flatnonzero(bad)
         self.merged += len(failed)
-        return guesses
-
-    def _remember(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        raw = data.tobytes()
+        merged = self._merge([raw[x:y] for x, y in zip(begin[failed].tolist(), end[failed].tolist())])
+        fine = ~bad[owner]
+        again = np.repeat(failed, [len(m) for m in merged])
+        flat = np.r_[flat[fine], np.fromiter(chain.from_iterable(merged), dtype=np.int64, count=len(again))]
+        owner = np.r_[owner[fine], again]
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(begin))
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))]
+        self.flat = np.r_[self.flat, ids.astype(np.int32)]
         keys, begin, size = np.r_[self.keys, keys], np.r_[self.begin, begin], np.r_[self.size, size]
         order = np.argsort(keys, kind="stable")
         self.keys, self.begin, self.size = keys[order], begin[order], size[order]
@@ -339,7 +397,9 @@ class Codec:
         met = at < len(self.keys)
         new[met] = self.keys[at[met]] != keys[met]
         if new.any():
-            self._remember(keys[new], self.learn([said[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())]))
+            data = np.frombuffer(said.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            place = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # of each character's first byte
+            self._remember(keys[new], *self.learn(data, place[start[one[new]]], place[end[one[new]]]))
             at = np.searchsorted(self.keys, keys)
         begin, count = self.begin[at][which], self.size[at][which]
         total = np.r_[0, np.cumsum(count)]
