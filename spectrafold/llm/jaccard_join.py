@@ -17,13 +17,13 @@ Stages, all linear in the input but for pairs that share rare tokens:
 3. Stars: each class has one leader, the most central class on most of its
    tokens, and is verified against it, and components are formed; a large group
    of near copies collapses here with one pair per member.
-4. Kin: two classes of one leader p differ by what their differences from p
+4. Kin, where a leader has more than ``LARGE`` classes: two classes of one leader p differ by what their differences from p
    differ by.  If one of them is no link of p, both must share a good part of
    their differences, so candidates are those that share a token early enough
    among the differences; tokens that all of a large group have don't count.
 5. Cross pairs: of the tokens that still hold several components, pairs of
-   classes of different leaders in different components are verified; links
-   within a component can't change it.
+   classes in different components are verified, but for kin; links within a
+   component can't change it.
 
 Pairs whose last shared prefix token comes too late for the shared tokens
 before it are dropped (the positional bound).  Pairs that remain must share
@@ -53,6 +53,8 @@ SHINGLE = 5
 PERCENT = 80
 _CELLS = 1 << 18
 _TALLY = 2 << 20
+#: Classes of one leader beyond which they are compared by their differences from it; fewer meet as cross pairs.
+LARGE = 64
 _ORDERS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -258,14 +260,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = entries.withColumn("share", F.count("*").over(W.partitionBy("token")))
     entries = entries.select("token", F.col("class").alias("one"), "n", "at", "share").join(classes.select("one", "rep", F.col("n").cast("int").alias("n")), ["one", "n"])
     entries = scratch.put(entries.select("token", "rep", "n", "at", "share"), "entries", 2000)
+    scratch.release()
 
     # Beyond the last token that two prefixes share lie what is left of either set; before it, only what they share.
     possible = f"(times + least(n_a - 1 - last.at_a, n_b - 1 - last.at_b)) * {100 + percent} >= (n_a + n_b) * {percent} AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}"
     met_at = [F.count("*").alias("times"), F.max(F.struct("at_a", "at_b")).alias("last"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b")]
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+    def sets_of(pairs: DataFrame, name: str, *columns: str) -> DataFrame:
         some = scratch.put(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), f"{name}-ids")
-        return scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size, percent), f"`{id_col}` {kind}, tokens binary, one array<long>, two array<long>"), f"{name}-sets", 2000)
+        return scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size, percent), f"`{id_col}` {kind}, tokens binary, one array<long>, two array<long>").select(id_col, "tokens", *columns), f"{name}-sets", 2000)
 
     def with_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The set of ``a`` travels; the joins on hot ``b`` can be split."""
@@ -275,7 +278,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.put(pairs.select("a", "b"), f"{name}-pairs")
-        sets = sets_of(pairs, name)
+        sets = sets_of(pairs, name, "one", "two")
         firsts = lambda end: sets.select(F.col(id_col).alias(end), F.col("one").alias(f"one_{end}"), F.col("two").alias(f"two_{end}"))
         # The filters of the three orders are intersected here: two rows of a set hold no more than its prefixes.
         met = pairs.join(firsts("a"), "a").join(firsts("b"), "b").where(F.arrays_overlap("one_a", "one_b") & F.arrays_overlap("two_a", "two_b"))
@@ -296,8 +299,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = connected_components(links, scratch, "first")
     # 4. Pairs of one leader in different components.
     led = scratch.put(stars.join(first, stars.a == first.id, "left").select("a", "b", F.coalesce("component", "a").alias("place")), "led")
-    open_ = scratch.put(led.groupBy("b").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("b"), "open")
-    kin = scratch.put(led.join(open_, "b", "left_semi").select("a", "b"), "kin-of")
+    large = scratch.put(led.groupBy("b").agg(F.count("*").alias("n"), F.min("place").alias("least"), F.max("place").alias("most")).where(F.col("n") > LARGE).select("b", (F.col("least") != F.col("most")).alias("open")), "large")
+    kin = scratch.put(led.join(large.where("open"), "b", "left_semi").select("a", "b"), "kin-of")
     deltas = with_tokens(kin, sets_of(kin, "kin-of")).mapInArrow(_differences(shared, percent), f"rep {kind}, leader {kind}, token long, n int, d int, at int, far boolean, early boolean")
     deltas = scratch.put(deltas, "deltas", 64)
     deltas = deltas.join(led.select(F.col("a").alias("rep"), "place"), "rep")
@@ -306,9 +309,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = f"CEIL((d_a + d_b - FLOOR((n_a + n_b) * {100 - percent} / {100 + percent})) / 2)"
     near = build.join(probe, ["leader", "token"]).where(f"place_a <> place_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND at_a <= d_a - {least} AND at_b <= d_b - {least}")
     kin_links = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "kin")
-    scratch.drop("deltas", "kin-of", "kin-of-ids", "kin-of-sets", "open")
+    scratch.drop("deltas", "kin-of", "kin-of-ids", "kin-of-sets")
+    scratch.release()
     # 5. Pairs across components and leaders.
-    placed = entries.join(first, entries.rep == first.id, "left").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left")
+    placed = entries.join(first, entries.rep == first.id, "left").join(led.join(large, "b", "left_semi").select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left")
     placed = placed.select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("place"), F.coalesce("leader", "rep").alias("leader"))
     met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.min("leader").alias("one"), F.max("leader").alias("other")).where("least <> most AND one <> other").select("token")
     placed = scratch.put(placed.join(met, "token", "left_semi"), "placed")
@@ -323,7 +327,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     theirs = placed.select("token", F.col("place").alias("place_b"), F.col("leader").alias("leader_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     cross = meets.join(mine, ["token", "place", "leader", "n_a", "at_a"]).join(theirs, ["token", "place_b", "leader_b", "n_b", "at_b"])
     more = verified(cross.groupBy("a", "b").agg(*met_at).where(possible), "cross")
-    scratch.drop("placed", "leaders", "led")
+    scratch.drop("placed", "leaders", "led", "large")
+    scratch.release()
     found = connected_components(links.union(kin_links).union(more), scratch, "second")
     roots = classes.join(found, classes.rep == found.id, "left").select("one", "two", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(roots, (signed.one == roots.one) & (signed.two == roots.two) & (signed.n == roots["size"]), "left")

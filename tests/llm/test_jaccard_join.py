@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from spectrafold.llm import jaccard_join
 from spectrafold.llm._store import Scratch
 from spectrafold.llm.components import connected_components
 from spectrafold.llm.jaccard_join import brute_force, jaccard_components
@@ -31,6 +32,28 @@ def test_against_brute_force(spark):
     assert len({c for _, _, c in got}) < len(rows) - 30
 
 
+def test_kin_by_their_differences(spark, monkeypatch):
+    """Large groups around one text, of which many are no links of it: replaced, dropped and inserted runs of words, some of them shared."""
+    monkeypatch.setattr(jaccard_join, "LARGE", 3)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        twice = [word() for _ in range(12)]
+        for k in range(30):
+            said = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at, size, kind = rng.randrange(len(said)), rng.randint(1, 4), rng.randrange(4)
+                said[at : at + size] = [word() for _ in range(size)] if kind == 0 else [] if kind == 1 else said[at : at + size] + [word() for _ in range(size)] if kind == 2 else twice[:size]
+            if k % 5 == 0:
+                said[40:52] = twice
+            rows.append(" ".join(said))
+    rows = list(enumerate(rows, 1))
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute_force(rows))
+
+
 def test_repeated_rows_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = jaccard_components(docs).collect()
