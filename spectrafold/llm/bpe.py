@@ -39,8 +39,8 @@ from spectrafold.llm._text import _Powers, mix
 #: Unicode white space as the tokenizers library sees it (Python's own class holds four control characters more).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Words memoised per Python worker; the memo starts anew beyond that.
-MEMO_WORDS = 150_000
+#: Words memoised per Python worker, at some 50 bytes each; the memo starts anew beyond that.
+MEMO_WORDS = 500_000
 #: Bytes beyond which a word that fails is merged on its own.
 LONG_WORD = 64
 #: Characters handled in step.
@@ -372,9 +372,8 @@ class Codec:
     def _remember(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.r_[self.flat, ids.astype(np.int32)]
-        keys, begin, size = np.r_[self.keys, keys], np.r_[self.begin, begin], np.r_[self.size, size]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, one after the other, and how many each has."""
