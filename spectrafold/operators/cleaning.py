@@ -39,9 +39,10 @@ def remove_outliers(df: DataFrame, column: str, method: str = "iqr", threshold:
     """
     value = present(column)
     if method == "iqr":
-        q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        width = F.col("q")[1] - F.col("q")[0]
-        fence = q.select((F.col("q")[0] - threshold * width).alias("low"), (F.col("q")[1] + threshold * width).alias("high"))
+        from spectrafold.operators.statistics import quantiles
+
+        width = F.col("q1") - F.col("q0")
+        fence = quantiles(df, column, (0.25, 0.75)).select((F.col("q0") - threshold * width).alias("low"), (F.col("q1") + threshold * width).alias("high"))
         kept = df.crossJoin(F.broadcast(fence)).where((value >= F.col("low")) & (value <= F.col("high")))
         return kept.drop("low", "high")
     if method == "zscore":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrafold.operators.statistics import quantiles
+
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Codes of sorted levels from 0. Levels are few by contract and joined as a small table."""
@@ -22,7 +24,7 @@ def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
 
 def median_impute(df: DataFrame, column: str) -> DataFrame:
     """Missing entries replaced by the exact median, then z-scored with the population deviation after filling."""
-    filled = df.crossJoin(F.broadcast(df.agg(F.percentile(column, F.lit(0.5)).alias("__med")))).withColumn(column, F.coalesce(F.col(column).cast("double"), "__med")).drop("__med")
+    filled = df.crossJoin(F.broadcast(quantiles(df, column, (0.5,)).withColumnRenamed("q0", "__med"))).withColumn(column, F.coalesce(F.col(column).cast("double"), "__med")).drop("__med")
     m = filled.agg(F.avg(column).alias("__mu"), F.stddev_pop(column).alias("__sd"))
     return filled.crossJoin(F.broadcast(m)).withColumn(column, (F.col(column) - F.col("__mu")) / F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(1.0)).drop("__mu", "__sd")
 

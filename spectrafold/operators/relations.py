@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrafold.operators.statistics import numbered, quantiles
 from spectrafold.session import cut_lineage
 
 
@@ -61,7 +62,7 @@ def token_pairs(df: DataFrame, id_col: str, text: str, threshold: float) -> Data
 
 def title_key(title: Column) -> Column:
     """Lower case, punctuation gone, white space single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\w\s]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def first_key_dedup(df: DataFrame, keys: Sequence[Column], order: str) -> DataFrame:
@@ -76,7 +77,7 @@ def weighted_rank(df: DataFrame, weights: dict[str, float], tie: str) -> DataFra
     """Weighted sum clipped to [0, 1] and its rank from 1, ties by ``tie``."""
     total = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights.items()])
     scored = df.withColumn("score", F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), tie)))
+    return numbered(scored, [F.desc("score"), F.col(tie)], "rank")
 
 
 def trailing(df: DataFrame, series: str, order: str, value: str, width: int, threshold: float) -> DataFrame:
@@ -97,27 +98,36 @@ def run_since(df: DataFrame, series: str, order: str, reset: Column) -> DataFram
 def quintile_stage(df: DataFrame, value: str, significant: Column) -> DataFrame:
     """Stage 1 to 5 by the quintiles of the significant rows only; the largest value belongs to the last."""
     some = df.where(significant)
-    q = some.agg(F.percentile(value, F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    wide = some.crossJoin(F.broadcast(q))
-    stage = reduce(lambda a, b: a + b, [(F.col(value) >= F.col("q")[i]).cast("int") for i in range(4)]) + 1
-    return wide.withColumn("stage", stage).drop("q")
+    wide = some.crossJoin(F.broadcast(quantiles(some, value, (0.2, 0.4, 0.6, 0.8))))
+    stage = reduce(lambda a, b: a + b, [(F.col(value) >= F.col(f"q{i}")).cast("int") for i in range(4)]) + 1
+    return wide.withColumn("stage", stage).drop("q0", "q1", "q2", "q3")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float) -> DataFrame:
     """``test`` for the first rounded share of each class in hash order, at least one row of each class in ``train``."""
-    w = W.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.md5(F.col(id_col).cast("string"))))
-    n = F.count("*").over(w)
-    quota = F.least(F.bround(n * F.lit(test_share)).cast("long"), n - 1)
-    return df.withColumn("split", F.when(place <= quota, "test").otherwise("train"))
+    quota = F.least(F.bround(F.col("__n") * F.lit(test_share)).cast("long"), F.col("__n") - 1)
+    sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n")).select("__l", quota.alias("__q"))
+    return _first_by_hash(df, id_col, label, sizes).withColumn("split", F.when(F.col("__p") <= F.col("__q"), "test").otherwise("train")).drop("__q", "__p")
+
+
+def _first_by_hash(df: DataFrame, id_col: str, label: str, sizes: DataFrame) -> DataFrame:
+    """Rows with their place ``__p`` in hash order within their class and the class's quota ``__q``.
+
+    All rows are numbered in order of class and hash, by ranges, and a class's
+    first number is taken off, so a class of any size is spread over tasks.
+    """
+    placed = numbered(df.withColumn("__h", F.md5(F.col(id_col).cast("string"))), [F.col(label), F.col("__h")], "__g")
+    first = placed.groupBy(F.col(label).alias("__l")).agg(F.min("__g").alias("__f"))
+    told = sizes.join(first, sizes["__l"].eqNullSafe(first["__l"])).select(sizes["__l"], "__q", "__f")
+    return placed.join(F.broadcast(told), placed[label].eqNullSafe(told["__l"])).withColumn("__p", F.col("__g") - F.col("__f") + 1).drop("__h", "__g", "__f", "__l")
 
 
 def proportional_sample(df: DataFrame, id_col: str, label: str, most: int) -> DataFrame:
     """Of each class ``max(1, round(most n / N))`` rows, the first in hash order."""
-    n, total = F.count("*").over(W.partitionBy(label)), F.count("*").over(W.partitionBy(F.lit(1)))
-    quota = F.greatest(F.lit(1), F.bround(F.lit(most) * n / total).cast("long"))
-    place = F.row_number().over(W.partitionBy(label).orderBy(F.md5(F.col(id_col).cast("string"))))
-    return df.withColumns({"__q": quota, "__p": place}).where("__p <= __q").drop("__q", "__p")
+    sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    quota = F.greatest(F.lit(1), F.bround(F.lit(most) * F.col("__n") / F.col("__total")).cast("long"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("__n").alias("__total")))).select("__l", quota.alias("__q"))
+    return _first_by_hash(df, id_col, label, sizes).where("__p <= __q").drop("__q", "__p")
 
 
 def dominant(df: DataFrame, group: str, category: str, amount: str, least: float, share: float) -> DataFrame:

@@ -13,7 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrafold.functions.distributions import chi2_upper, f_upper, normal_two_sided, t_two_sided
 from spectrafold.operators.cleaning import present
+from spectrafold.session import cut_lineage
+
+
+def running_counts(df: DataFrame, value: Column) -> DataFrame:
+    """``(v, n, upto)``: distinct values, how often each occurs, and how many rows lie at or below it.
+
+    Values are counted first and the running count is taken per range of values,
+    so that no single task sorts all rows: a prefix sum over the ranges, and one
+    within each.  The ranges are written, so that every reader sees the same.
+    """
+    counted = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    counted = cut_lineage(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = counted.groupBy("part").agg(F.sum("n").alias("size"))
+    before = parts.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("before"))
+    inner = F.sum("n").over(W.partitionBy("part").orderBy("v"))
+    return counted.withColumn("inner", inner).join(F.broadcast(before), "part").select("v", "n", (F.col("before") + F.col("inner")).alias("upto"))
+
+
+def quantiles(df: DataFrame, value: str | Column, probabilities: Sequence[float]) -> DataFrame:
+    """One row with the exact interpolated quantiles ``q0``, ``q1``, ..., from running counts."""
+    counts = running_counts(df, present(value).cast("double"))
+    wide = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    told = []
+    for i, p in enumerate(probabilities):
+        at = F.lit(p) * (F.col("total") - 1)
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            told.append(F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("v"))).alias(f"{side}{i}"))
+    row = wide.agg(F.max("total").alias("total"), *told)
+    share = lambda p: F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))
+    return row.select(*[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * share(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -78,20 +109,9 @@ def power_law(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
 
 
 def mid_ranks(df: DataFrame, value: str, name: str = "mid_rank") -> DataFrame:
-    """Ranks with ties averaged.
-
-    Values are counted first and the running count is taken per range of values,
-    so that no single task sorts all rows: a prefix sum over the buckets of the
-    counted values' range partitions, and one within each.
-    """
+    """Ranks with ties averaged."""
     v = present(value).cast("double")
-    counted = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("__n"))
-    counted = counted.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()).persist()
-    inner = F.sum("__n").over(W.partitionBy("__part").orderBy("__v"))
-    parts = counted.groupBy("__part").agg(F.sum("__n").alias("__size"))
-    before = parts.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__before"))
-    ranked = counted.withColumn("__upto", inner).join(F.broadcast(before), "__part")
-    ranked = ranked.select("__v", (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name), F.col("__n").alias("ties"))
+    ranked = running_counts(df, v).select(F.col("v").alias("__v"), (F.col("upto") - (F.col("n") - 1) / 2).alias(name), F.col("n").alias("ties"))
     return df.join(ranked, v == F.col("__v")).drop("__v")
 
 
@@ -121,32 +141,66 @@ def chi_square(df: DataFrame, row: str, column: str, yates: bool = True) -> Data
     return out.select("chi2", ((F.col("k") - 1) * (F.col("m") - 1)).alias("dof"), "n", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("k", "m") - 1))).alias("cramers_v"))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Numbers from 1 in an order, ranges of which are numbered apart: no task sorts all rows."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = parts.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__before"))
+    inner = ranged.withColumn("__inner", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__inner") + F.col("__before")).cast("int")).drop("__part", "__inner", "__before")
+
+
+def _beside(df: DataFrame, *totals: Column) -> DataFrame:
+    """Every row with totals over all rows, as one broadcast row."""
+    return df.crossJoin(F.broadcast(df.agg(*totals)))
+
+
 def _ranked(df: DataFrame, p: str) -> DataFrame:
-    """Tests in order of p with their rank; families of tests are small beside the data they come from."""
-    return df.where(F.col(p).isNotNull()).withColumn("rank", F.row_number().over(W.orderBy(p))).withColumn("m", F.count("*").over(W.partitionBy(F.lit(1))))
+    """Tests in order of p with their rank and number."""
+    known = df.where(F.col(p).isNotNull())
+    return _beside(numbered(known, [p], "rank"), F.count("*").alias("m"))
 
 
 def bonferroni(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    out = df.withColumn("m", F.count(p).over(W.partitionBy(F.lit(1))))
+    out = _beside(df, F.count(p).alias("m"))
     return out.withColumn("adjusted", F.least(F.col(p) * F.col("m"), F.lit(1.0))).withColumn("significant", F.col(p) < alpha / F.col("m"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", alpha: float = 0.05, monotone: bool = False) -> DataFrame:
     """Step-up decisions; adjusted values are p m / rank, made monotone only where asked for."""
     out = _ranked(df, p).withColumn("raw", F.least(F.col(p) * F.col("m") / F.col("rank"), F.lit(1.0)))
-    last = F.max(F.when(F.col(p) <= alpha * F.col("rank") / F.col("m"), F.col("rank"))).over(W.partitionBy(F.lit(1)))
+    out = _beside(out, F.max(F.when(F.col(p) <= alpha * F.col("rank") / F.col("m"), F.col("rank"))).alias("__last"))
+    # Made monotone, each is the least from its rank on: families of tests are small beside the data they come from.
     adjusted = F.min("raw").over(W.orderBy(F.desc("rank"))) if monotone else F.col("raw")
-    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("raw")
+    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") <= F.coalesce("__last", F.lit(0))).drop("raw", "__last")
 
 
 def holm(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Step-down decisions that stop at the first failure."""
-    fails = F.min(F.when(F.col(p) > alpha / (F.col("m") - F.col("rank") + 1), F.col("rank"))).over(W.partitionBy(F.lit(1)))
     out = _ranked(df, p)
+    out = _beside(out, F.min(F.when(F.col(p) > alpha / (F.col("m") - F.col("rank") + 1), F.col("rank"))).alias("__fails"))
     adjusted = F.max(F.least(F.col(p) * (F.col("m") - F.col("rank") + 1), F.lit(1.0))).over(W.orderBy("rank"))
-    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") < F.coalesce(fails, F.col("m") + 1))
+    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") < F.coalesce("__fails", F.col("m") + 1)).drop("__fails")
 
 
 def stars(p: Column) -> Column:
     """Label of a p-value."""
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+
+
+def with_p(result: DataFrame, test: str) -> DataFrame:
+    """The p-value beside the statistic of a result of this module: ``t``, ``anova``, ``chi2``, ``u`` or ``r``."""
+    if test == "t":
+        p = t_two_sided(F.col("t"), F.col("df").cast("double"))
+    elif test == "anova":
+        p = f_upper(F.col("f"), F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    elif test == "chi2":
+        p = chi2_upper(F.col("chi2"), F.col("dof").cast("double"))
+    elif test == "u":
+        p = normal_two_sided(F.col("z"))
+    elif test == "r":
+        df = (F.col("n") - 2).cast("double")
+        p = t_two_sided(F.col("r") * F.sqrt(df / (1 - F.col("r") * F.col("r"))), df)
+    else:
+        raise ValueError(f"unknown test {test!r}")
+    return result.withColumn("p", p)

@@ -76,10 +76,9 @@ def exact_dedup(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@register("title_keys", r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html,'<h1>([^<]*)</h1>',1)),'[^a-z0-9_\s]','','g'),'\s+',' ','g')) AS title_key FROM pages WHERE NOT regexp_matches(regexp_extract(html,'<h1>([^<]*)</h1>',1), '[^\x00-\x7f]')")
+@register("title_keys", r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html,'<h1>([^<]*)</h1>',1)),'[^\p{L}\p{N}_\s]','','g'),'\s+',' ','g')) AS title_key FROM pages")
 def title_keys(spark, d):
-    pages = table(spark, d, "pages").withColumn("h", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))
-    return pages.where(~F.col("h").rlike(r"[^\x00-\x7f]")).select("page_id", r.title_key(F.col("h")).alias("title_key"))
+    return table(spark, d, "pages").select("page_id", r.title_key(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("title_key"))
 
 
 @register("weighted_rank", """WITH s AS (SELECT l_suppkey, avg(l_discount)*5 a, avg(l_tax)*5 b, avg(CASE WHEN l_returnflag='R' THEN 1.0::DOUBLE ELSE 0 END) x FROM lineitem GROUP BY 1),
