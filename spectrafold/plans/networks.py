@@ -189,15 +189,15 @@ def retained_rows(spark, d):
     return n.retained(table(spark, d, "orders"), c("o_totalprice") > 300000, c("o_orderdate") >= F.lit("1998-01-01").cast("timestamp"), c("o_orderpriority").like("1%")).select("o_orderkey")
 
 
-@register("text_matches", "SELECT p_partkey FROM part WHERE contains(lower(p_name),'green') OR contains(lower(p_type),'green') OR contains(lower(p_type),'steel')")
+@register("text_matches", "SELECT p_partkey FROM part WHERE contains(lower(p_name),'red') OR contains(lower(p_type),'red') OR contains(lower(p_type),'promo')")
 def text_matches(spark, d):
     part = table(spark, d, "part")
-    return n.text_matches(part, "Green", ["p_name", "p_type"]).select("p_partkey").union(n.text_matches(part, "steel", ["p_type"]).select("p_partkey")).distinct()
+    return n.text_matches(part, "Red", ["p_name", "p_type"]).select("p_partkey").union(n.text_matches(part, "Promo", ["p_type"]).select("p_partkey")).distinct()
 
 
-@register("name_filter", "SELECT p_partkey FROM part WHERE (contains(lower(p_type),'small') AND contains(lower(p_type),'steel')) OR contains(lower(p_type),'brushed')")
+@register("name_filter", "SELECT p_partkey FROM part WHERE (contains(lower(p_name),'blue') AND contains(lower(p_name),'bolt')) OR contains(lower(p_name),'ring')")
 def name_filter(spark, d):
-    return n.any_name_all_words(table(spark, d, "part"), "p_type", ["small steel", "Brushed"]).select("p_partkey")
+    return n.any_name_all_words(table(spark, d, "part"), "p_name", ["blue bolt", "Ring"]).select("p_partkey")
 
 
 @register("projected_columns", "SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")

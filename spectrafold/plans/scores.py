@@ -11,9 +11,9 @@ from spectrafold.session import table
 c = F.col
 
 
-@register("pattern_score", "SELECT p_partkey, round(least(greatest(0.5+CASE WHEN regexp_matches(lower(p_type),'brass|steel') THEN 0.2 ELSE 0 END+CASE WHEN regexp_matches(lower(p_type),'^(small|economy)') THEN -0.15 ELSE 0 END+CASE WHEN regexp_matches(lower(p_type),'anodized') THEN 0.4 ELSE 0 END,0),1),6) AS score FROM part")
+@register("pattern_score", "SELECT p_partkey, round(least(greatest(0.5+CASE WHEN regexp_matches(lower(p_type),'promo|standard') THEN 0.2 ELSE 0 END+CASE WHEN regexp_matches(lower(p_type),'^(small|economy)') THEN -0.15 ELSE 0 END+CASE WHEN regexp_matches(lower(p_type),'medium') THEN 0.4 ELSE 0 END,0),1),6) AS score FROM part")
 def pattern_score(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(sc.pattern_score(c("p_type"), {"brass|steel": 0.2, "^(small|economy)": -0.15, "anodized": 0.4}), 6).alias("score"))
+    return table(spark, d, "part").select("p_partkey", F.round(sc.pattern_score(c("p_type"), {"promo|standard": 0.2, "^(small|economy)": -0.15, "medium": 0.4}), 6).alias("score"))
 
 
 def _hits(text, words):
@@ -28,13 +28,13 @@ def claim_strength(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(sc.claim_strength(c("text"), _STRONG, _HEDGED), 6).alias("strength"))
 
 
-_DOMAINS = {"metal": ["steel", "brass", "tin", "nickel", "copper"], "finish": ["plated", "burnished", "polished"], "size": ["small", "large", "medium"]}
-_LISTED = ",".join(f"{{s:{_hits('p_type', w)}/{float(len(w))}::DOUBLE,p:-{i},n:'{n}'}}" for i, (n, w) in enumerate(_DOMAINS.items()))
+_DOMAINS = {"colour": ["red", "blue", "green"], "item": ["widget", "bolt"], "size": ["small", "large", "medium"]}
+_LISTED = ",".join(f"{{s:{_hits('p_name', w)}/{float(len(w))}::DOUBLE,p:-{i},n:'{n}'}}" for i, (n, w) in enumerate(_DOMAINS.items()))
 
 
 @register("keyword_domain", f"WITH x AS (SELECT p_partkey, [{_LISTED}] l FROM part), b AS (SELECT p_partkey, l, list_max(l) b FROM x) SELECT p_partkey, CASE WHEN b.s>0 THEN b.n END AS domain, round(b.s,6) AS score, array_to_string(list_sort(list_transform(list_filter(l, lambda e: e.s>0.3 AND e.n<>b.n), lambda e: e.n)),',') AS secondary FROM b")
 def keyword_domain(spark, d):
-    out = table(spark, d, "part").select("p_partkey", sc.keyword_domain(c("p_type"), _DOMAINS).alias("k"))
+    out = table(spark, d, "part").select("p_partkey", sc.keyword_domain(c("p_name"), _DOMAINS).alias("k"))
     return out.select("p_partkey", "k.domain", F.round("k.score", 6).alias("score"), F.array_join("k.secondary", ",").alias("secondary"))
 
 
@@ -79,9 +79,9 @@ def volcano(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("v.height", 6).alias("height"), F.col("v.class").alias("point"))
 
 
-@register("name_class", "SELECT p_partkey, CASE WHEN trim(lower(p_type)) IN ('promo plated tin') THEN 'token' WHEN ends_with(trim(lower(p_type)),'steel') OR ends_with(trim(lower(p_type)),'tin') THEN 'soft' WHEN contains(lower(p_type),'brushed') THEN 'surface' ELSE 'other' END AS kind FROM part")
+@register("name_class", "SELECT p_partkey, CASE WHEN trim(lower(p_name)) IN ('red widget') THEN 'token' WHEN ends_with(trim(lower(p_name)),'bolt') OR ends_with(trim(lower(p_name)),'ring') THEN 'fitting' WHEN contains(lower(p_name),'small') THEN 'small' ELSE 'other' END AS kind FROM part")
 def name_class(spark, d):
-    return table(spark, d, "part").select("p_partkey", sc.name_class(c("p_type"), {"token": ["promo plated tin"]}, {"soft": ["steel", "tin"]}, {"surface": ["brushed"]}).alias("kind"))
+    return table(spark, d, "part").select("p_partkey", sc.name_class(c("p_name"), {"token": ["red widget"]}, {"fitting": ["bolt", "ring"]}, {"small": ["small"]}).alias("kind"))
 
 
 @register("stopword_jaccard", """WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text),'[a-z]{3,}'), lambda x: x NOT IN ('the','and'))) s FROM conversations)
