@@ -14,10 +14,11 @@ Stages, all linear in the input but for pairs that share rare tokens:
    gives the same result).
 2. Prefix tokens per class, once per task, with their places; tokens of a
    single class go.
-3. Stars: each class has one leader, the most central class on most of its
-   tokens, and is verified against it, and components are formed; a large group
-   of near copies collapses here with one pair per member.
-4. Kin, where a leader has more than ``LARGE`` classes: two classes of one leader p differ by what their differences from p
+3. Stars: each class is verified against one pivot, the most central class on
+   most of its tokens, and components are formed; a large group of near copies
+   collapses here with one pair per member.
+4. Kin: a pivot that more than ``LARGE`` classes meet leads those that meet no
+   pivot met by more.  Two classes of one leader p differ by what their differences from p
    differ by.  If one of them is no link of p, both must share a good part of
    their differences, so candidates are those that share a token early enough
    among the differences; tokens that all of a large group have don't count.
@@ -53,7 +54,7 @@ SHINGLE = 5
 PERCENT = 80
 _CELLS = 1 << 18
 _TALLY = 2 << 20
-#: Classes of one leader beyond which they are compared by their differences from it; fewer meet as cross pairs.
+#: Classes that meet one pivot beyond which they are compared by their differences from it; fewer meet as cross pairs.
 LARGE = 64
 _ORDERS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -152,10 +153,10 @@ def _prefixes(common, size: int, percent: int):
 
 
 def _whole_sets(id_col: str, size: int, percent: int):
-    """Sorted tokens of each set, and its prefix tokens under the two further orders."""
+    """Sorted tokens of each set, and 32 bits of its prefix tokens under the two further orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows).view(np.int64)))
+        lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows).astype(np.uint32).view(np.int32)))
         for batch in batches:
             at, held = 0, 0
             out: list[bytes] = []
@@ -268,7 +269,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sets_of(pairs: DataFrame, name: str, *columns: str) -> DataFrame:
         some = scratch.put(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), f"{name}-ids")
-        return scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size, percent), f"`{id_col}` {kind}, tokens binary, one array<long>, two array<long>").select(id_col, "tokens", *columns), f"{name}-sets", 2000)
+        return scratch.put(rows_of(texts, some, id_col).mapInArrow(_whole_sets(id_col, size, percent), f"`{id_col}` {kind}, tokens binary, one array<int>, two array<int>").select(id_col, "tokens", *columns), f"{name}-sets", 2000)
 
     def with_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The set of ``a`` travels; the joins on hot ``b`` can be split."""
@@ -287,32 +288,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets", f"{name}-met")
         return out
 
-    # 3. One leader per class. Of a token's classes it is the one whose tokens are the most widely shared: of near
+    # 3. One pivot per class. Of a token's classes it is the one whose tokens are the most widely shared: of near
     # copies that is the text they derive from, which lies nearer to each than they do to each other.
     mine = entries.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     middle = entries.groupBy("rep").agg((F.sum("share") / F.max("n")).alias("middle"))
     pivots = entries.join(middle, "rep").groupBy("token").agg(F.max(F.struct("middle", "rep", "n", "at")).alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"))
-    stars = mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).withColumn("fits", F.expr(possible))
-    stars = stars.groupBy("a").agg(F.max(F.struct("fits", "times", "b")).alias("s")).select("a", "s.b", "s.fits")
-    stars = scratch.put(stars, "leaders")
-    links = verified(stars.where("fits"), "stars")
+    near = scratch.put(mine.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(*met_at).select("a", "b", "times", F.expr(possible).alias("fits")), "near")
+    stars = near.where("fits").groupBy("a").agg(F.max(F.struct("times", "b")).alias("s")).select("a", "s.b")
+    links = verified(stars, "stars")
     first = connected_components(links, scratch, "first")
+    scratch.release()
     # 4. Pairs of one leader in different components.
-    led = scratch.put(stars.join(first, stars.a == first.id, "left").select("a", "b", F.coalesce("component", "a").alias("place")), "led")
-    large = scratch.put(led.groupBy("b").agg(F.count("*").alias("n"), F.min("place").alias("least"), F.max("place").alias("most")).where(F.col("n") > LARGE).select("b", (F.col("least") != F.col("most")).alias("open")), "large")
-    kin = scratch.put(led.join(large.where("open"), "b", "left_semi").select("a", "b"), "kin-of")
+    followed = scratch.put(near.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "followed")
+    led = near.join(followed, "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select("a", "s.b").join(followed.select(F.col("b").alias("a")), "a", "left_anti")
+    led = scratch.put(led.join(first, led.a == first.id, "left").select("a", "b", F.coalesce("component", "a").alias("place")), "led")
+    places = led.select("b", "place").union(followed.join(first, followed.b == first.id, "left").select("b", F.coalesce("component", "b")))
+    open_ = scratch.put(places.groupBy("b").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("b"), "open")
+    kin = scratch.put(led.join(open_, "b", "left_semi").select("a", "b"), "kin-of")
+    scratch.drop("near")
     deltas = with_tokens(kin, sets_of(kin, "kin-of")).mapInArrow(_differences(shared, percent), f"rep {kind}, leader {kind}, token long, n int, d int, at int, far boolean, early boolean")
     deltas = scratch.put(deltas, "deltas", 64)
+    own = scratch.put(deltas.where("NOT far").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "own")
     deltas = deltas.join(led.select(F.col("a").alias("rep"), "place"), "rep")
     build = deltas.where("far").select("leader", "token", F.col("rep").alias("a"), F.col("place").alias("place_a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"))
     probe = deltas.where("early").select("leader", "token", F.col("rep").alias("b"), F.col("place").alias("place_b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"))
     least = f"CEIL((d_a + d_b - FLOOR((n_a + n_b) * {100 - percent} / {100 + percent})) / 2)"
     near = build.join(probe, ["leader", "token"]).where(f"place_a <> place_b AND n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent} AND at_a <= d_a - {least} AND at_b <= d_b - {least}")
     kin_links = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "kin")
-    scratch.drop("deltas", "kin-of", "kin-of-ids", "kin-of-sets")
+    scratch.drop("deltas", "kin-of", "kin-of-ids", "kin-of-sets", "open")
     scratch.release()
     # 5. Pairs across components and leaders.
-    placed = entries.join(first, entries.rep == first.id, "left").join(led.join(large, "b", "left_semi").select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left")
+    placed = entries.join(first, entries.rep == first.id, "left").join(led.select(F.col("a").alias("rep"), F.col("b").alias("leader")), "rep", "left")
     placed = placed.select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("place"), F.coalesce("leader", "rep").alias("leader"))
     met = placed.groupBy("token").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.min("leader").alias("one"), F.max("leader").alias("other")).where("least <> most AND one <> other").select("token")
     placed = scratch.put(placed.join(met, "token", "left_semi"), "placed")
@@ -327,9 +333,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     theirs = placed.select("token", F.col("place").alias("place_b"), F.col("leader").alias("leader_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     cross = meets.join(mine, ["token", "place", "leader", "n_a", "at_a"]).join(theirs, ["token", "place_b", "leader_b", "n_b", "at_b"])
     more = verified(cross.groupBy("a", "b").agg(*met_at).where(possible), "cross")
-    scratch.drop("placed", "leaders", "led", "large")
+    scratch.drop("placed", "led", "followed")
     scratch.release()
-    found = connected_components(links.union(kin_links).union(more), scratch, "second")
+    found = connected_components(links.union(own).union(kin_links).union(more), scratch, "second")
     roots = classes.join(found, classes.rep == found.id, "left").select("one", "two", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(roots, (signed.one == roots.one) & (signed.two == roots.two) & (signed.n == roots["size"]), "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
