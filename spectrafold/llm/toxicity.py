@@ -14,8 +14,9 @@
    least hash) and scores every document.
 
 The corpus is read by maps only; what is shuffled are feature counts of toxic
-rows, combined per task first.  At most ``MAX_FEATURES`` features are kept, so
-the broadcast model has a fixed bound.
+rows, combined per task first.  Of the features that tell toxic rows apart at most
+``MAX_FEATURES`` are kept, those of most evidence, so the broadcast model has a
+fixed bound.
 
 Defined results: null and empty texts have no features and get the model's
 base score; labels that are null are ignored and of several labels of an id
@@ -92,6 +93,8 @@ def _counted(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None = None
 
     for batch in batches:
         for _, hashes, _ in _per_text(batch.column(0)):
+            if chosen is not None and not len(chosen):
+                continue
             if chosen is not None:
                 at = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
                 hashes = hashes[chosen[at] == hashes]
@@ -232,19 +235,17 @@ def _classifier(rows: list[np.ndarray], target: np.ndarray, size: int, penalty:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     spark = docs.sparkSession
     toxic, clean, known, n_toxic, n_clean = _labelled(docs, labels, id_col, text_col, label_col)
-    often = toxic.mapInArrow(_counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC)
-    often = often.orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).toPandas()
-    keys = often["feature"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, t = keys[order], often["n"].to_numpy(dtype=float)[order]
-    c = np.zeros(len(keys))
-    if len(keys):
-        chosen = spark.sparkContext.broadcast(keys)
-        met = clean.mapInArrow(lambda b: _counted(b, chosen.value), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-        c[np.searchsorted(keys, met["feature"].to_numpy(dtype=np.int64).view(np.uint64))] = met["n"].to_numpy(dtype=float)
-    odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
-    keep = odds >= 1.5
-    keys, t, c, odds = keys[keep], t[keep], c[keep], odds[keep]
+    scratch = Scratch(spark, "toxicity")
+    counted = lambda texts, chosen=None: texts.mapInArrow(lambda b: _counted(b, chosen and chosen.value), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    often = scratch.put(counted(toxic).where(F.col("n") >= MIN_TOXIC), "often")
+    # Few features are looked up among the clean texts as they are read; more meet in a join.
+    few = often.count() <= BROADCAST_IDS
+    chosen = spark.sparkContext.broadcast(np.sort(often.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))) if few else None
+    met = often.join(counted(clean, chosen).withColumnRenamed("n", "c"), "feature", "left").na.fill(0, ["c"])
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
+    # What tells toxic rows apart stays, by weight of evidence where that is too much.
+    kept = met.withColumn("odds", odds).where(F.col("odds") >= 1.5).orderBy(F.desc(F.col("odds") * F.log1p("n")), "feature").limit(MAX_FEATURES).toPandas()
+    keys, t, odds = kept["feature"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=float), kept["odds"].to_numpy(dtype=float)
     fixed = np.setdiff1d(_insult_hashes(), keys)
     keys, odds = np.concatenate([keys, fixed]), np.concatenate([odds, np.full(len(fixed), 3.5)])
     order = np.argsort(keys)
@@ -255,7 +256,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     voter = np.where(strong, 1 << (1 + group + _LEXICONS * (keys & np.uint64(1)).astype(np.int64)), 0)
     voter |= np.isin(keys, _insult_hashes()).astype(np.int64)
     model = Model(keys, voter, (odds < 3).astype(float), np.zeros(len(keys)), 0.0, np.zeros(1 << VOTERS))
-    scratch = Scratch(spark, "toxicity")
     voted = scratch.put(_looked(docs, model, id_col, text_col), "voted")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     met = voted.join(known, id_col).groupBy("votes").agg(F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic"))
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = voted.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS).select("votes", "found").toPandas()
     target = model.posterior[sample["votes"].to_numpy(dtype=np.int64)]
     model.weights, model.bias = _classifier(list(sample["found"]), target, len(keys))
-    scratch.drop("voted")
+    scratch.drop("voted", "often")
     return model
 
 

@@ -169,6 +169,8 @@ def _assigner(shared):
 
 def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    scaled = lambda x: F.transform(x, lambda v: v / F.array_max(F.transform(x, lambda w: F.abs(w))))
+    a, b = scaled(a), scaled(b)  # so that neither very small nor very large vectors leave the range of doubles
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
@@ -176,7 +178,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """One row per row: id, ``n_links``, ``component_id`` and ``kept``."""
     spark = table.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(label_col).alias("label"))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     valid = F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(F.forall("vec", fine) & F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("key", F.when(valid, F.xxhash64("vec")))
@@ -190,7 +192,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         centroids.setdefault(key, np.ones((1, key[1])))
     shared = spark.sparkContext.broadcast(centroids)
     kind = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "size", "cid", "vec").mapInPandas(_assigner(shared), f"label {kind}, size int, cid long, vec array<float>, cluster int")
+    placed = classes.select("label", "size", "cid", "vec").mapInPandas(_assigner(shared), f"label {kind}, size int, cid long, vec array<double>, cluster int")
     found = scratch.put(placed.groupBy("label", "size", "cluster").applyInPandas(_shard, "kind int, a long, b long"), "found")
     links = scratch.put(found.where("kind = 1").select("a", "b").distinct(), "links")
     # The united adjacency lists lead from a link's ends to further vectors, also of other shards.

@@ -16,8 +16,8 @@ travel once to be stored and once to be joined back.  A payload shared by very
 many records joins on its digest with one stored row, which Spark's skew join
 can split.
 
-Defined results: a null html is an empty payload; ids may repeat (the rows of
-the largest id are one response and revisits of it in order of url); null urls
+Defined results: a null html is an empty payload; ids may repeat (of the rows of
+the largest id that of the last url is the response, and one of equal rows); null urls
 give an empty target; empty tables give empty archives; other columns are not
 read.
 """
@@ -51,10 +51,11 @@ def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "key": F.sha2("payload", 256), "payload_digest": base32(F.sha1("payload"))})
 
 
-def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Write ``payloads`` and ``headers`` under ``folder``."""
     rows = _records(pages, id_col, url_col, html_col)
-    marks = rows.select("page_id", "url", "payload_bytes", "key", "payload_digest")
+    # Rows equal in all of these are told apart by a copy number; the first of them may be the response.
+    marks = rows.groupBy("page_id", "url", "payload_bytes", "key", "payload_digest").agg(F.count("*").cast("int").alias("times"))
     large = F.col("payload_bytes") >= min_bytes
     first = marks.where(large).groupBy("key").agg(
         F.max(F.struct(F.col("page_id"), F.col("url"))).alias("last"),
@@ -66,15 +67,16 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str
     )
     sound = (F.col("least") == F.col("most")) & (F.col("one") == F.col("two"))
     first = first.select("key", F.when(sound, F.col("last")).otherwise(F.raise_error(F.lit("different payloads under one digest"))).alias("last"))
-    joined = marks.join(first, "key", "left")
-    revisit = large & ~(F.col("page_id").eqNullSafe(F.col("last.page_id")) & (F.col("url") == F.col("last.url")))
+    joined = marks.join(first, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    revisit = large & ~((F.col("copy") == 1) & F.col("page_id").eqNullSafe(F.col("last.page_id")) & (F.col("url") == F.col("last.url")))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "),
         kind,
         F.lit(f"{CRLF}WARC-Record-ID: <urn:page:"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(f">{CRLF}WARC-Target-URI: "),
+        F.when(F.col("copy") > 1, F.concat(F.lit(":"), F.col("copy").cast("string"))).otherwise(F.lit("")),
+        F.lit(f">{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "),
         F.regexp_replace("url", "[\r\n]", "%0A"),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"),
         F.col("payload_digest"),

@@ -53,3 +53,9 @@ def test_recall_over_many_shards(spark, monkeypatch):
         found = sum(r.n_links for r in result.collect())
         assert 0.97 * true <= found <= true, shard
         assert g.audit_recall(table, result) >= 0.95
+
+
+def test_very_small_and_very_large_vectors(spark):
+    rows = [(1, [1e-60, 1e-60], 1), (2, [1.0, 1.0], 1), (3, [1e200, 1e-3], 1), (4, [1e39, 1.0], 1), (5, [1e200, 1e200], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in g.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3)}

@@ -57,3 +57,11 @@ def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(pages, f"{tmp_path}/e")
     assert warc.read_records(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_equal_rows_have_one_response(spark, tmp_path):
+    rows = [(5, "http://a", "same")] * 3 + [(5, "http://b", "same"), (4, "http://c", "same"), (5, "http://b", "same")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/d")
+    back = warc.parse_records(warc.read_records(spark, f"{tmp_path}/d")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in back) == [(4, "revisit", 5), *[(5, "response", None)], *[(5, "revisit", 5)] * 4]
+    assert len({bytes(r.record) for r in back}) == 6 and all(b"WARC-Date: " in bytes(r.record) for r in back)
