@@ -50,14 +50,20 @@ def cooccurrence(df: DataFrame, group: str, item: str, least: int) -> DataFrame:
 
 
 def token_pairs(df: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """Pairs of texts whose token sets have a Jaccard similarity of at least the threshold, through shared tokens."""
-    tokens = df.select(F.col(id_col).alias("id"), F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+")).alias("set")).withColumn("n", F.size("set"))
-    each = tokens.select("id", "n", F.explode("set").alias("t"))
-    other = each.select(F.col("id").alias("other"), F.col("n").alias("m"), "t")
-    fits = (F.col("id") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    both = each.join(other, "t").where(fits).groupBy("id", "other").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
-    score = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return both.select("id", "other", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs of token sets of a Jaccard similarity of at least the threshold, through shared tokens; of texts with one set the least id stands for all."""
+    tokens = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("set"))
+    tokens = tokens.groupBy("set").agg(F.min("id").alias("id"))
+    each = tokens.select("id", F.explode("set").alias("t"))
+    common = each.groupBy("t").agg(F.count("*").alias("c"))
+    ranked = each.join(common, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ranked"))
+    # Two sets that are similar share a token among the first of each, rare ones first.
+    prefix = F.slice("ranked", 1, F.size("ranked") - F.ceil(F.lit(threshold) * F.size("ranked") - 1e-9).cast("int") + 1)
+    first = ranked.select("id", F.explode(prefix).alias("x")).select("id", "x.t").join(tokens, "id")
+    other = first.select(F.col("id").alias("other"), "t", F.col("set").alias("theirs"))
+    fits = (F.col("id") < F.col("other")) & (F.least(F.size("set"), F.size("theirs")) >= threshold * F.greatest(F.size("set"), F.size("theirs")))
+    both = F.size(F.array_intersect("set", "theirs"))
+    scored = first.join(other, "t").where(fits).select("id", "other", (both / (F.size("set") + F.size("theirs") - both)).alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold).distinct()
 
 
 def title_key(title: Column) -> Column:

@@ -54,11 +54,11 @@ def cooccurrence(spark, d):
     return r.cooccurrence(sold, "l_orderkey", "p_brand", 5)
 
 
-@register("token_pairs", """WITH t AS (SELECT p_partkey id, list_distinct(regexp_split_to_array(lower(trim(p_name || ' ' || p_type || ' ' || p_brand)), '\\s+')) s FROM part WHERE p_size <= 10),
+@register("token_pairs", """WITH t AS (SELECT min(p_partkey) id, s FROM (SELECT p_partkey, list_sort(list_distinct(regexp_split_to_array(lower(trim(p_name || ' ' || p_type || ' ' || p_brand)), '\\s+'))) s FROM part) GROUP BY s),
  e AS (SELECT id, len(s) n, unnest(s) t FROM t)
 SELECT a.id AS id, b.id AS other, round(count(*)/(any_value(a.n)+any_value(b.n)-count(*)),6) AS similarity FROM e a JOIN e b ON a.t=b.t AND a.id<b.id GROUP BY 1,2 HAVING count(*)/(any_value(a.n)+any_value(b.n)-count(*)) >= 0.7""")
 def token_pairs(spark, d):
-    parts = table(spark, d, "part").where("p_size <= 10").withColumn("said", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    parts = table(spark, d, "part").withColumn("said", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
     return rounded(r.token_pairs(parts, "p_partkey", "said", 0.7), 6)
 
 
@@ -145,11 +145,11 @@ def collected_sets(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ";").alias("priorities"), F.count("*").alias("n"))
 
 
-_EDGES = "SELECT DISTINCT a.l_suppkey src, b.l_suppkey dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey WHERE a.l_quantity > 48 AND b.l_quantity > 48"
+_EDGES = "SELECT DISTINCT a.l_suppkey src, b.l_suppkey dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey"
 
 
 def _edges(spark, d):
-    big = table(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey", F.col("l_suppkey").alias("src"))
+    big = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src")).distinct()
     return big.join(big.withColumnRenamed("src", "dst"), "l_orderkey").where("src <> dst").select("src", "dst").distinct()
 
 
