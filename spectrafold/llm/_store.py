@@ -56,14 +56,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
-        """``arrow_rows`` bounds the rows of a batch handed to Python, where rows are large."""
+    def put(self, df: DataFrame, name: str, arrow_rows: int | None = None, options: dict | None = None) -> DataFrame:
+        """``arrow_rows`` bounds the rows of a batch handed to Python, where rows are large; ``options`` are the writer's."""
         where, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         if arrow_rows:
             self.spark.conf.set(key, arrow_rows)
         try:
-            df.write.mode("overwrite").parquet(where)
+            df.write.mode("overwrite").options(**(options or {})).parquet(where)
         finally:
             self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)

@@ -72,10 +72,10 @@ class Words:
     hash: np.ndarray
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """``data`` holds the bytes of all texts; text d is ``data[offsets[d]:offsets[d+1]]``."""
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = True) -> Words:
+    """``data`` holds the bytes of all texts; text d is ``data[offsets[d]:offsets[d+1]]``.  ``fold`` lower-cases A-Z."""
     n = len(offsets) - 1
-    low = _LOWER[data]
+    low = _LOWER[data] if fold else data
     inside = table[low]
     if not len(data):
         none = np.zeros(0, dtype=np.int64)

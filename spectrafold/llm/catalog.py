@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, packing, pii, secrets, toxicity, vector_graph, warc
+from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, packing, pii, secrets, substring_dedup, toxicity, vector_graph, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op13_substring_dedup": substring_dedup.op13_substring_dedup,
     }
 
 
