@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +71,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(where)
 
     def release(self) -> None:
-        """Have Spark remove the shuffle files of steps whose results are written: it does so once the driver collects its garbage."""
-        self.spark.sparkContext._jvm.System.gc()
+        """Have Spark remove the shuffle files of steps whose results are written: it does so once the driver has collected its garbage, Python's references first."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm

@@ -6,7 +6,7 @@ into reference blocks of ``BLOCK`` words that do not overlap; as a window is
 document.  So two equal windows each hold a block that the other holds at some
 offset, and repeats are found from blocks alone:
 
-1. **Index and probe.**  Texts are packed into chunks.  Each chunk sends the
+1. **Index and probe.**  Texts are packed into compressed chunks.  Each chunk sends the
    hash of every rolling run of ``BLOCK`` words once to the bucket of that
    hash, marked if it is a reference block, 4 bytes a word.  A bucket tells
    each chunk which of its runs are blocks that occur at least twice: anchors.
@@ -64,7 +64,7 @@ def _packer(limit: int):
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(1), limit):
                 ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
-                columns = [ids, pa.array([data.tobytes()], pa.large_binary()).cast(pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())]
+                columns = [ids, pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "data", "offsets", "bytes"])
 
     return pack
@@ -74,6 +74,12 @@ def _bytes(column: pa.Array, row: int, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(column[row].as_buffer(), dtype=kind)
 
 
+def _texts(batch: pa.RecordBatch, row: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a chunk's texts, from the columns ``data``, ``offsets`` and ``bytes``."""
+    data = pa.decompress(batch.column(first)[row].as_buffer(), batch.column(first + 2)[row].as_py(), "zstd")
+    return np.frombuffer(data, dtype=np.uint8), _bytes(batch.column(first + 1), row, np.int64)
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, Words]]:
     """The words of a chunk with the place of the first: one piece, or pieces of one long text.
 
@@ -132,7 +138,7 @@ def _sender(buckets: int, limit: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                for _, words in _pieces(_bytes(batch.column(1), row), _bytes(batch.column(2), row, np.int64), limit):
+                for _, words in _pieces(*_texts(batch, row, 1), limit):
                     _, h, block = _Rolling(words).runs()
                     if not len(h):
                         continue
@@ -200,10 +206,10 @@ def _extender(buckets: int, limit: int):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                told = batch.column(3)[row].values
+                told = batch.column(4)[row].values
                 known = [np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(_U) + (_U(b) << _U(30)) for b, x in zip(told.field("bucket").to_pylist(), told.field("hits"))]
                 known = np.sort(np.concatenate(known))
-                for base, words in _pieces(_bytes(batch.column(1), row), _bytes(batch.column(2), row, np.int64), limit):
+                for base, words in _pieces(*_texts(batch, row, 1), limit):
                     found = _extensions(words, known, buckets, base)
                     if found is not None:
                         chunk = pa.array(np.full(found.num_rows, batch.column(0)[row].as_py(), dtype=np.int64))
@@ -267,8 +273,8 @@ def _remover(limit: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                data, offsets = _bytes(batch.column(2), row), _bytes(batch.column(3), row, np.int64)
-                told = batch.column(4)[row].values
+                data, offsets = _texts(batch, row, 2)
+                told = batch.column(5)[row].values
                 marks = _covered(told) if told is not None and len(told) else np.zeros(0, dtype=bool)
                 at, n_words, n_removed, sums, runs, texts = 0, [], [], [], [], []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -313,9 +319,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     packed = texts.mapInArrow(_packer(chunk_bytes), f"ids array<{kind}>, data binary, offsets binary, bytes long")
     # The number of a chunk is fixed once the table is written; row groups are small, as chunks are read whole.
-    chunks = scratch.put(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "data", "offsets", "bytes"), "chunks", options={"parquet.block.size": 16 * chunk_bytes})
+    chunks = scratch.put(packed.select(F.monotonically_increasing_id().alias("chunk"), "ids", "data", "offsets", "bytes"), "chunks", options={"parquet.block.size": 8 * chunk_bytes})
     buckets = max(1, -(-(chunks.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
-    bodies = chunks.select("chunk", "data", "offsets")
+    bodies = chunks.select("chunk", "data", "offsets", "bytes")
     sent = bodies.mapInArrow(_sender(buckets, chunk_bytes), "bucket long, chunk long, entries binary")
     hits = scratch.put(sent.groupBy("bucket").applyInArrow(_match, _HITS), "hits")
     scratch.release()
@@ -337,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("extensions", "kinds", "again", "verdicts")
     scratch.release()
     out = f"id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<a:long,b:long>>" + ", kept string" * with_text
-    whole = chunks.select("chunk", "ids", "data", "offsets").join(marks, "chunk", "left")
+    whole = chunks.select("chunk", "ids", "data", "offsets", "bytes").join(marks, "chunk", "left")
     return whole.mapInArrow(_remover(chunk_bytes, with_text), out).withColumnRenamed("id", id_col)
 
 
