@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, decontamination, jaccard_join, line_dedup, packing, pii, secrets, substring_dedup, toxicity, vector_graph, warc
+from spectrafold.llm import bpe, decontamination, fill_in_middle, filter_audit, jaccard_join, line_dedup, packing, pii, secrets, substring_dedup, toxicity, vector_graph, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_substring_dedup": substring_dedup.op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fill_in_middle.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
