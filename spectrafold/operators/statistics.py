@@ -150,6 +150,21 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__inner") + F.col("__before")).cast("int")).drop("__part", "__inner", "__before")
 
 
+def running(df: DataFrame, order: str, value: str, name: str, largest: bool, backwards: bool = False) -> DataFrame:
+    """The largest (or least) ``value`` among the rows up to each one in an order, or from each one on.
+
+    As with :func:`numbered`, ranges of the order hold a running value each and
+    take the value of the ranges passed before.
+    """
+    most, far = (F.max, F.greatest) if largest else (F.min, F.least)
+    turn = F.desc if backwards else F.asc
+    ranged = cut_lineage(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__part").agg(most(value).alias("__own"))
+    before = parts.select("__part", most("__own").over(W.orderBy(turn("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    inner = most(value).over(W.partitionBy("__part").orderBy(turn(order)))
+    return ranged.withColumn("__inner", inner).join(F.broadcast(before), "__part").withColumn(name, far("__inner", "__before")).drop("__part", "__inner", "__before")
+
+
 def _beside(df: DataFrame, *totals: Column) -> DataFrame:
     """Every row with totals over all rows, as one broadcast row."""
     return df.crossJoin(F.broadcast(df.agg(*totals)))
@@ -170,17 +185,18 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", alpha: float = 0.05, monoton
     """Step-up decisions; adjusted values are p m / rank, made monotone only where asked for."""
     out = _ranked(df, p).withColumn("raw", F.least(F.col(p) * F.col("m") / F.col("rank"), F.lit(1.0)))
     out = _beside(out, F.max(F.when(F.col(p) <= alpha * F.col("rank") / F.col("m"), F.col("rank"))).alias("__last"))
-    # Made monotone, each is the least from its rank on: families of tests are small beside the data they come from.
-    adjusted = F.min("raw").over(W.orderBy(F.desc("rank"))) if monotone else F.col("raw")
-    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") <= F.coalesce("__last", F.lit(0))).drop("raw", "__last")
+    # Made monotone, each is the least from its rank on.
+    out = running(out, "rank", "raw", "adjusted", largest=False, backwards=True) if monotone else out.withColumn("adjusted", F.col("raw"))
+    return out.withColumn("significant", F.col("rank") <= F.coalesce("__last", F.lit(0))).drop("raw", "__last")
 
 
 def holm(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Step-down decisions that stop at the first failure."""
     out = _ranked(df, p)
     out = _beside(out, F.min(F.when(F.col(p) > alpha / (F.col("m") - F.col("rank") + 1), F.col("rank"))).alias("__fails"))
-    adjusted = F.max(F.least(F.col(p) * (F.col("m") - F.col("rank") + 1), F.lit(1.0))).over(W.orderBy("rank"))
-    return out.withColumn("adjusted", adjusted).withColumn("significant", F.col("rank") < F.coalesce("__fails", F.col("m") + 1)).drop("__fails")
+    out = out.withColumn("__step", F.least(F.col(p) * (F.col("m") - F.col("rank") + 1), F.lit(1.0)))
+    out = running(out, "rank", "__step", "adjusted", largest=True)
+    return out.withColumn("significant", F.col("rank") < F.coalesce("__fails", F.col("m") + 1)).drop("__fails", "__step")
 
 
 def stars(p: Column) -> Column:

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from spectrafold.plans import analytics, inference, networks, rollups, scores, selection, tabular  # noqa: F401
+from spectrafold.plans import analytics, evaluation, inference, networks, rollups, scores, selection, tabular  # noqa: F401
