@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,16 +89,28 @@ def bootstrap_interval(df: DataFrame, id_col: str, column: str, draws: int = 200
     return ends.select(F.col("q0").alias("low"), F.col("q1").alias("high"))
 
 
+def _hypergeometric_tail(a: float, b: float, c: float, d: float, block: int = 1 << 16) -> float:
+    """P of at least ``a``, summed from ``a`` on by the ratio of neighbouring terms until they no longer count."""
+    row, col, n = a + b, a + c, a + b + c + d
+    choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+    term, total, k, last = choose(row, a) + choose(n - row, c) - choose(n, col), 0.0, a, min(row, col)
+    while True:
+        total += math.exp(term)
+        step = np.arange(k, min(k + block, last))
+        if not len(step):
+            return min(1.0, total)
+        terms = term + np.cumsum(np.log((row - step) * (col - step)) - np.log((step + 1) * (n - row - col + step + 1)))
+        total += float(np.exp(terms[:-1]).sum())
+        k, term = step[-1] + 1, float(terms[-1])
+        if len(terms) > 1 and terms[-1] < terms[-2] and math.exp(term) < 1e-18 * total:
+            return min(1.0, total)
+
+
 def fisher_greater(table: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """P of at least ``a`` shared members in a 2 x 2 table with fixed margins, as ``p`` beside the odds ratio."""
     @F.pandas_udf(T.DoubleType())
     def tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-        out = []
-        for w, x, y, z in zip(a, b, c, d):
-            n, row, col = w + x + y + z, w + x, w + y
-            out.append(min(1.0, sum(math.exp(log_choose(row, i) + log_choose(n - row, col - i) - log_choose(n, col)) for i in range(int(w), int(min(row, col)) + 1))))
-        return pd.Series(out)
+        return pd.Series([_hypergeometric_tail(*cells) for cells in zip(a, b, c, d)], dtype=float)
 
     odds = F.try_divide(F.col(a) * F.col(d), F.col(b) * F.col(c))
     return table.withColumn("odds_ratio", odds).withColumn("p", tail(*[F.col(x).cast("double") for x in (a, b, c, d)]))

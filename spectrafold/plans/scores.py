@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectrafold.operators import scores as sc
@@ -94,19 +95,21 @@ def stopword_jaccard(spark, d):
     return w.join(after, ["conv_id", "turn"]).withColumn("x", sc.jaccard(c("s"), c("other"))).select("conv_id", "turn", F.round("x", 6).alias("similarity"), F.round(sc.novelty(c("x")), 6).alias("novelty"))
 
 
-@register("finding_similarity", """WITH f AS (SELECT l_orderkey o, l_linenumber n, l_discount-0.05 e, l_tax p, l_returnflag k FROM lineitem WHERE l_linenumber<=2), g AS (SELECT o, n, any_value(e) e, any_value(p) p, any_value(k) k, count(*) m FROM f GROUP BY 1,2 HAVING count(*)=1)
-SELECT a.o AS l_orderkey, round(0.6*0.5+0.3*(CASE WHEN sign(a.e)<>sign(b.e) THEN 0 ELSE least(abs(a.e),abs(b.e))/greatest(abs(a.e),abs(b.e),1e-12) END+((a.p<0.05)=(b.p<0.05))::INT)/2+0.1*(a.k=b.k)::INT,5)::DOUBLE AS similarity FROM g a JOIN g b ON a.o=b.o AND a.n=1 AND b.n=2""")
+@register("finding_similarity", """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount-0.05 e, l_tax p, l_returnflag k, lag(l_discount-0.05) OVER w f, lag(l_tax) OVER w q, lag(l_returnflag) OVER w j FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate))
+SELECT l_orderkey, l_linenumber, l_partkey, round(0.6*0.5+0.3*(CASE WHEN sign(f)<>sign(e) THEN 0 ELSE least(abs(f),abs(e))/greatest(abs(f),abs(e),1e-12) END+((q<0.05)=(p<0.05))::INT)/2+0.1*(j=k)::INT,5)::DOUBLE AS similarity FROM f WHERE j IS NOT NULL""")
 def finding_similarity(spark, d):
-    f = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.first(c("l_discount") - 0.05).alias("e"), F.first("l_tax").alias("p"), F.first("l_returnflag").alias("k"), F.count("*").alias("m")).where("m = 1")
-    a = f.where("l_linenumber = 1").select("l_orderkey", c("e").alias("e1"), c("p").alias("p1"), c("k").alias("k1"))
-    b = f.where("l_linenumber = 2").select("l_orderkey", c("e").alias("e2"), c("p").alias("p2"), c("k").alias("k2"))
-    return a.join(b, "l_orderkey").select("l_orderkey", F.round(sc.blended(F.lit(0.5), sc.result_similarity(c("e1"), c("e2"), c("p1"), c("p2")), c("k1") == c("k2")), 5).alias("similarity"))
+    """Each line of an order and the line before it."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_discount") - 0.05).alias("e"), c("l_tax").alias("p"), c("l_returnflag").alias("k"), F.lag(c("l_discount") - 0.05).over(w).alias("f"), F.lag("l_tax").over(w).alias("q"), F.lag("l_returnflag").over(w).alias("j"))
+    like = sc.blended(F.lit(0.5), sc.result_similarity(c("f"), c("e"), c("q"), c("p")), c("j") == c("k"))
+    return f.where("j IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", F.round(like, 5).alias("similarity"))
 
 
-@register("numbers_in_text", """WITH t AS (SELECT event_id, 'p = ' || (value/100)::DECIMAL(9,4)::VARCHAR || ', r=-' || (value/200)::DECIMAL(9,4)::VARCHAR || ' n = ' || user_id::VARCHAR s FROM events)
+@register("numbers_in_text", """WITH t AS (SELECT event_id, 'p = 0.' || lpad((floor(value*100)::BIGINT%10000)::VARCHAR,4,'0') || ', r=-0.' || lpad((floor(value*50)::BIGINT%10000)::VARCHAR,4,'0') || ' n = ' || user_id::VARCHAR s FROM events)
 SELECT event_id, list_min(list_transform(regexp_extract_all(s,'p = ([0-9.]+)',1), lambda x: x::DOUBLE)) AS min_p, list_max(list_transform(regexp_extract_all(s,'r=-([0-9.]+)',1), lambda x: x::DOUBLE)) AS max_r, list_max(list_transform(regexp_extract_all(s,'n = ([0-9]+)',1), lambda x: x::DOUBLE)) AS max_n FROM t""")
 def numbers_in_text(spark, d):
-    said = F.concat(F.lit("p = "), (c("value") / 100).cast("decimal(9,4)").cast("string"), F.lit(", r=-"), (c("value") / 200).cast("decimal(9,4)").cast("string"), F.lit(" n = "), c("user_id").cast("string"))
+    digits = lambda times: F.lpad((F.floor(c("value") * times) % 10000).cast("string"), 4, "0")
+    said = F.concat(F.lit("p = 0."), digits(100), F.lit(", r=-0."), digits(50), F.lit(" n = "), c("user_id").cast("string"))
     return table(spark, d, "events").select("event_id", sc.numbers_in(said).alias("x")).select("event_id", "x.*")
 
 
@@ -123,11 +126,10 @@ def citations_in_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(sc.citations_in(said), "|").alias("found"))
 
 
-@register("clean_text", r"""WITH a AS (SELECT page_id, regexp_replace('A bro-' || chr(10) || 'ken ' || page_id::VARCHAR || chr(10) || 'line  with' || chr(9) || 'gaps' || chr(10) || chr(10) || chr(10) || chr(10) || regexp_extract(url,'//([^/]+)/',1),'(\p{L})-\n(\p{L})','\1\2','g') s FROM pages)
-SELECT page_id, replace('A broken ' || page_id::VARCHAR || ' line with gaps' || chr(10) || chr(10) || regexp_extract(url,'//([^/]+)/',1), chr(10), '/') AS text FROM pages""")
+@register("clean_text", r"""WITH a AS (SELECT doc_id, replace(regexp_replace(text,'(\p{L})-\n(\p{L})','\1\2','g'), chr(10) || chr(10), chr(1) || chr(1)) s FROM documents), b AS (SELECT doc_id, replace(replace(replace(s, chr(1) || chr(10), chr(1) || chr(1)), chr(10), ' '), chr(1), chr(10)) s FROM a)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(s,'[ \t]+',' ','g'),'\n{3,}',chr(10) || chr(10),'g'),' ')) AS text_md5 FROM b""")
 def clean_text(spark, d):
-    said = F.concat(F.lit("A bro-\nken "), c("page_id").cast("string"), F.lit("\nline  with\tgaps\n\n\n\n"), F.regexp_extract("url", "//([^/]+)/", 1))
-    return table(spark, d, "pages").select("page_id", F.translate(sc.clean_text(said), "\n", "/").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(sc.clean_text(c("text"))).alias("text_md5"))
 
 
 @register("json_blocks", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
@@ -140,11 +142,13 @@ def keywords(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(sc.keywords(c("text"), ["the", "and"], 4), " ").alias("words"))
 
 
-@register("article_id", "SELECT p_partkey, '2101.' || lpad(p_partkey::VARCHAR,5,'0') AS id FROM part")
+@register("article_id", r"""WITH t AS (SELECT page_id, CASE page_id%4 WHEN 0 THEN 'arXiv:' || k || 'v2' WHEN 1 THEN 'https://arxiv.org/pdf/' || k || 'v11.pdf' WHEN 2 THEN ' ' || k ELSE url END s FROM (SELECT *, regexp_extract(url,'([0-9]+)',1) || '.' || lpad(strlen(html)::VARCHAR,5,'0') k FROM pages))
+SELECT page_id, regexp_replace(regexp_replace(trim(s),'^(https?://[^/]+/(abs|pdf)/|arXiv:)',''),'(v[0-9]+)?([.]pdf)?$','') AS id FROM t""")
 def article_id(spark, d):
-    k = F.lpad(c("p_partkey").cast("string"), 5, "0")
-    said = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit("arXiv:2101."), k, F.lit("v2"))).when(c("p_partkey") % 3 == 1, F.concat(F.lit("https://arxiv.org/pdf/2101."), k, F.lit("v11.pdf"))).otherwise(F.concat(F.lit(" 2101."), k))
-    return table(spark, d, "part").select("p_partkey", sc.article_id(said).alias("id"))
+    k = F.concat(F.regexp_extract("url", "([0-9]+)", 1), F.lit("."), F.lpad(F.octet_length("html").cast("string"), 5, "0"))
+    which = c("page_id") % 4
+    said = F.when(which == 0, F.concat(F.lit("arXiv:"), k, F.lit("v2"))).when(which == 1, F.concat(F.lit("https://arxiv.org/pdf/"), k, F.lit("v11.pdf"))).when(which == 2, F.concat(F.lit(" "), k)).otherwise(c("url"))
+    return table(spark, d, "pages").select("page_id", sc.article_id(said).alias("id"))
 
 
 @register("cache_key", "SELECT o_orderkey, sha256('price=' || round(o_totalprice,2)::DECIMAL(18,2)::VARCHAR || '&status=' || o_orderstatus) AS cache_key FROM orders")
@@ -171,10 +175,11 @@ def human_size(spark, d):
     return table(spark, d, "pages").select("page_id", sc.format_size(F.octet_length("html") * 1000).alias("size"))
 
 
-@register("casing_style", "WITH g AS (SELECT c_nationkey, list(CASE WHEN c_nationkey%2=0 THEN c_mktsegment ELSE upper(substr(c_mktsegment,1,1)) || lower(substr(c_mktsegment,2)) END) n FROM customer GROUP BY 1) SELECT c_nationkey, CASE WHEN c_nationkey%2=0 THEN 'upper' ELSE 'title' END AS style FROM g")
+@register("casing_style", """WITH n AS (SELECT doc_id, regexp_extract_all(text,'[A-Z][A-Za-z0-9-]*') n FROM documents)
+SELECT doc_id, CASE WHEN len(n)=0 THEN 'none' WHEN len(list_filter(n, lambda x: regexp_full_match(x,'[A-Z0-9-]+')))/len(n)>=0.6 THEN 'upper' WHEN len(list_filter(n, lambda x: regexp_full_match(x,'[A-Z][a-z0-9-]+')))/len(n)>=0.6 THEN 'title' ELSE 'mixed' END AS style FROM n""")
 def casing_style(spark, d):
-    name = F.when(c("c_nationkey") % 2 == 0, c("c_mktsegment")).otherwise(F.initcap(F.lower("c_mktsegment")))
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(name).alias("n")).select("c_nationkey", sc.casing(c("n")).alias("style"))
+    """The words of each document that begin with a capital."""
+    return table(spark, d, "documents").select("doc_id", sc.casing(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9-]*"), F.lit(0))).alias("style"))
 
 
 @register("routing", """SELECT o_orderkey, CASE WHEN o_totalprice>300000 AND o_orderstatus='F' THEN 'accept' WHEN o_totalprice>150000 THEN 'defer' ELSE 'reject' END AS decision, concat_ws('; ', CASE WHEN o_totalprice<=150000 THEN 'too small' END, CASE WHEN o_orderstatus<>'F' THEN 'open' END) AS reasons FROM orders""")
