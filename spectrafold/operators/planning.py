@@ -87,7 +87,7 @@ def assemble_plan(signature: DataFrame, target: str, primary: str | None = None,
     own = F.col("table") == F.col("p.table")
     shared = F.filter(F.col("p.clear"), lambda p: F.array_contains(F.col("clear"), p))
     told = told.withColumn("shared", F.coalesce(F.when(own, F.col("p.clear")).otherwise(shared), F.array().cast("array<string>")))
-    least = required_shared(F.size(F.col("p.clear")), count, share)
+    least = F.when(F.col("p.table").isNotNull(), required_shared(F.size(F.col("p.clear")), count, share))
     said = (
         F.when(F.col("n_columns") < 2, "not a table")
         .when(F.size("f") == 0, "no usable feature")
