@@ -29,16 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's shared checkpoint folder and read from there.
-
-    The folder is that of ``spark.checkpoint.dir``; a local one is made only
-    where none is set and Spark runs in this process, as in tests.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one where none is set and Spark runs in this process, as in tests."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -7,11 +7,14 @@ files into rows with DataFrame expressions, so large files are split as usual.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes that may be read, and the format of each.
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".orc": "orc", ".xml": "xml"}
@@ -54,10 +57,23 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def _sniff(spark: SparkSession, path: str) -> str | None:
-    """The format by a file's first bytes."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 6).alias("b")).limit(1).collect()
-    magic = bytes(first[0].b) if first else b""
-    return "parquet" if magic[:4] == b"PAR1" else "orc" if magic[:3] == b"ORC" else None
+    """The format by a file's first bytes, of which no more are read; of a folder, its first data file's."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    if fs.getFileStatus(where).isDirectory():
+        files = [f.getPath() for f in fs.listStatus(where) if f.isFile() and f.getPath().getName()[0] not in "._"]
+        if not files:
+            return None
+        where = min(files, key=lambda f: f.getName())
+    stream = fs.open(where)
+    try:
+        magic = bytes(b for b in (stream.read() for _ in range(4)) if b >= 0)
+    finally:
+        stream.close()
+    return "parquet" if magic == b"PAR1" else "orc" if magic[:3] == b"ORC" else None
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -132,11 +148,51 @@ def matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str
 
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of BibTeX files as key, kind and a map of fields."""
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(@\w+\s*\{.*?\n\})"), F.lit(1))).alias("e"))
-    pairs = F.regexp_extract_all("e", F.lit(r"(?m)^\s*(\w+)\s*=\s*[\{\"](.*?)[\}\"],?\s*$"), F.lit(1))
-    values = F.regexp_extract_all("e", F.lit(r"(?m)^\s*(\w+)\s*=\s*[\{\"](.*?)[\}\"],?\s*$"), F.lit(2))
-    return text.select(F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1).alias("key"), F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("kind"), F.map_from_arrays(F.transform(pairs, F.lower), values).alias("fields"))
+    """Entries of BibTeX files as key, kind and a map of fields; values in braces, nested or not, quotes or bare.
+
+    An entry begins at an ``@`` at a line's start.  Of a field given twice the last counts.
+    """
+    entry = F.explode(F.split("value", r"(?m)^(?=\s*@\w)"))
+    text = spark.read.text(path, wholetext=True).select(entry.alias("e")).where(F.col("e").rlike(r"^\s*@\w+\s*\{\s*[^,\s=]+\s*[,}]"))
+    text = text.where(~F.lower("e").rlike(r"^\s*@(comment|string|preamble)\b"))
+    key, kind = F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s}]+)", 1), F.lower(F.regexp_extract("e", r"@(\w+)", 1))
+    return text.select(key.alias("key"), kind.alias("kind"), bibtex_fields(F.col("e")).alias("fields"))
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def bibtex_fields(entries: pd.Series) -> pd.Series:
+    return pd.Series([_fields_of(e) for e in entries])
+
+
+_FIELD = re.compile(r"\s*,?\s*([A-Za-z][\w-]*)\s*=\s*")
+
+
+def _fields_of(entry: str) -> dict[str, str]:
+    """Names and values of one entry, read from left to right."""
+    at = re.match(r"\s*@\w+\s*\{\s*[^,]*", entry).end()
+    out: dict[str, str] = {}
+    while named := _FIELD.match(entry, at):
+        begin, depth, at = named.end(), 0, named.end()
+        quoted = entry[begin : begin + 1] == '"'
+        while at < len(entry):
+            c = entry[at]
+            if c == "\\":
+                at += 1
+            elif c == "{":
+                depth += 1
+            elif c == "}" and depth:
+                depth -= 1
+            elif quoted and c == '"' and not depth and at > begin:
+                at += 1
+                break
+            elif not quoted and not depth and c in ",}":
+                break
+            at += 1
+        value = entry[begin:at].strip()
+        if value[:1] == "{" and value[-1:] == "}" or value[:1] == value[-1:] == '"' and len(value) > 1:
+            value = value[1:-1]
+        out[named[1].lower()] = " ".join(value.split())
+    return out
 
 
 def ris(spark: SparkSession, path: str) -> DataFrame:
