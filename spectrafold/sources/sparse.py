@@ -58,7 +58,8 @@ def _positions(names: DataFrame, wanted: Sequence | DataFrame) -> DataFrame:
 def read_slice(spark: SparkSession, folder: str, rows: Sequence | DataFrame | range | None = None, columns: Sequence | DataFrame | range | None = None) -> DataFrame:
     """``(row, column, value)`` of the rows and columns named, in a list or a frame of one column, or in a range of positions."""
     layout = spark.read.parquet(f"{folder}/layout").first()
-    cells = spark.read.parquet(f"{folder}/cells")
+    # With its schema said, no other block's footer is read for it.
+    cells = spark.read.schema("row_at int, column_at int, value double, row_block int, column_block int").parquet(f"{folder}/cells")
     for side, wanted, block in (("row", rows, layout.block_rows), ("column", columns, layout.block_columns)):
         names = spark.read.parquet(f"{folder}/{side}s")
         at, blocks = f"{side}_at", f"{side}_block"
