@@ -8,7 +8,7 @@ the draw's number, so results don't depend on how the data is partitioned.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from statistics import NormalDist
 
@@ -72,16 +72,29 @@ def mean_interval(df: DataFrame, column: str, by: Sequence[str] = (), confidence
     return m.withColumn("half", half).select(*by, "n", "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
 
 
+#: Draws in one pass over the rows.
+DRAWS = 25
+
+
 def bootstrap_means(df: DataFrame, id_col: str, column: str, draws: int) -> DataFrame:
     """``(draw, mean)`` of Poisson bootstraps: a row's weight in a draw follows from a hash of its id and the draw's number."""
-    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight, mass, total = F.lit(0), math.exp(-1), 0.0
+    bounds, mass, total = [], math.exp(-1), 0.0
     for k in range(8):
         total += mass
         mass /= k + 1
-        weight = weight + (F.col("u") >= total).cast("int")
-    each = df.select(id_col, F.col(column).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", uniform).withColumn("w", weight)
-    return each.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
+        bounds.append(total)
+    # Every draw is a column of one aggregation, in runs of draws: rows are never multiplied.
+    each = df.select(F.col(id_col).cast("string").alias("id"), F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    out = None
+    for first in range(1, draws + 1, DRAWS):
+        told = []
+        for draw in range(first, min(draws, first + DRAWS - 1) + 1):
+            u = F.conv(F.substring(F.md5(F.concat(F.col("id"), F.lit(f":{draw}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+            w = F.transform(F.array(u), lambda u: sum(((u >= t).cast("int") for t in bounds), F.lit(0)))[0]
+            told.append(F.struct(F.lit(draw).alias("draw"), (F.sum(w * F.col("v")) / F.sum(w)).alias("mean")))
+        part = each.agg(F.array(*told).alias("d")).select(F.inline("d"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def bootstrap_interval(df: DataFrame, id_col: str, column: str, draws: int = 200, confidence: float = 0.95) -> DataFrame:
@@ -181,10 +194,31 @@ test_power.__test__ = False
 
 
 def confidence_fold(df: DataFrame, key: str, order: str, support: Column, weight: str, start: float = 0.5) -> DataFrame:
-    """By key, a confidence moved up or down by each result in order: towards 1 or 0 by 0.3 of its weight."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), support.alias("s"), F.col(weight).cast("double").alias("w"))))
-    fold = F.aggregate("steps", F.lit(start), lambda c, x: F.when(x["s"], c + (1 - c) * x["w"] * 0.3).otherwise(c * (1 - x["w"] * 0.3)))
-    return df.groupBy(key).agg(steps.alias("steps")).select(key, F.size("steps").alias("n"), fold.alias("confidence"))
+    """By key, a confidence moved up or down by each result in order: towards 1 or 0 by 0.3 of its weight.
+
+    Steps are folded as a sorted partition is read, so a key of any number of
+    steps needs the memory of one batch.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, shown, n, c = None, None, 0, start
+        for part in parts:
+            out = []
+            for k, v, support, w in zip(part["k"], part["v"], part["s"], part["w"]):
+                if k != now:
+                    if n:
+                        out.append((shown, n, c))
+                    now, shown, n, c = k, v, 0, start
+                n += 1
+                c = c + (1 - c) * w * 0.3 if support is not None and support else c * (1 - w * 0.3)
+            yield pd.DataFrame(out, columns=["v", "n", "c"])
+        if n:
+            yield pd.DataFrame([(shown, n, c)], columns=["v", "n", "c"])
+
+    rows = df.select(F.col(key).alias("v"), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"), F.col(order).alias("o"), support.alias("s"), F.col(weight).cast("double").alias("w"))
+    told = rows.repartition("k").sortWithinPartitions("k", "o", "s", "w").select("v", "k", "s", "w").mapInPandas(fold, f"v {kind}, n int, c double")
+    return told.select(F.col("v").alias(key), "n", F.col("c").alias("confidence"))
 
 
 def shuffled(df: DataFrame, id_col: str, columns: Sequence[str], seed: str = "0") -> DataFrame:

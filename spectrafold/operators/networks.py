@@ -6,8 +6,9 @@ shared checkpoint folder and expand only what is new.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,13 +193,28 @@ def trailing_activity(df: DataFrame, time: str, minutes: int, by: str) -> DataFr
 def with_cooldown(df: DataFrame, key: str, time: str, condition: Column, minutes: float) -> DataFrame:
     """Rows that meet a condition and come at least a cooldown after the last one reported of their key.
 
-    The rows of a key that meet it are folded in order of time.
+    The times of a key are folded in order as a partition is read, so a key of
+    any size needs the memory of one batch.
     """
-    gap = minutes * 60.0
-    stamps = df.where(condition).groupBy(key).agg(F.array_sort(F.collect_set(F.unix_micros(F.col(time)))).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-    fold = F.aggregate("ts", start, lambda acc, t: F.when(acc["last"].isNull() | ((t - acc["last"]) / 1e6 >= gap), F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    return stamps.select(key, F.explode(fold).alias("t")).select(key, F.timestamp_micros("t").alias(time))
+    gap = round(minutes * 60e6)
+    kind = df.schema[key].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for part in parts:
+            keep = []
+            for k, t in zip(part["k"], part["t"]):
+                if last is None or k != now or t - last >= gap:
+                    now, last = k, t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield part[keep]
+
+    # The key as it is sorted by tells null apart from every value.
+    rows = df.where(condition & F.col(time).isNotNull()).select(F.col(key).alias("v"), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t")).distinct()
+    told = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(fold, f"v {kind}, k string, t long")
+    return told.select(F.col("v").alias(key), F.timestamp_micros("t").alias(time))
 
 
 def expired(df: DataFrame, time: str, now: Column, seconds: float) -> DataFrame:

@@ -151,10 +151,11 @@ def power(spark, d):
 
 
 @register("confidence_fold", """WITH l AS (SELECT o_custkey, list(struct_pack(o := o_orderkey, s := o_orderstatus='F', w := (o_orderkey%10)/10.0::DOUBLE) ORDER BY o_orderkey) x FROM orders GROUP BY 1)
-SELECT o_custkey, len(x)::INT AS n, round(list_reduce(list_prepend(0.5::DOUBLE, list_transform(x, lambda e: CASE WHEN e.s THEN 10+e.w ELSE 20+e.w END)), lambda c, y: CASE WHEN y<20 THEN c+(1-c)*(y-10)*0.3 ELSE c*(1-(y-20)*0.3) END),6) AS confidence FROM l""")
+SELECT o_custkey, len(x)::INT AS n, round(list_reduce(list_prepend(0.5::DOUBLE, list_transform(x, lambda e: CASE WHEN e.s THEN 10+e.w ELSE 20+e.w END)), lambda c, y: CASE WHEN y<20 THEN c+(1-c)*(y-10)*0.3 ELSE c*(1-(y-20)*0.3) END),7) AS confidence FROM l""")
 def confidence_fold(spark, d):
+    """To seven places: after n steps the value has 2 n + 1 digits, so none lies half-way."""
     o = table(spark, d, "orders").withColumn("w", (F.col("o_orderkey") % 10) / F.lit(10.0))
-    return rounded(i.confidence_fold(o, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F", "w"), 6)
+    return rounded(i.confidence_fold(o, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F", "w"), 7)
 
 
 @register("shuffled_columns", """WITH a AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_custkey) i FROM customer), b AS (SELECT c_acctbal, row_number() OVER (ORDER BY md5('7:c_acctbal:' || c_custkey::VARCHAR)) i FROM customer)
