@@ -41,11 +41,13 @@ def hops_any_way(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, depth: int) -> DataFrame:
     """``(root, node, distance, path)`` for goals within ``depth`` steps; of equally short paths the least."""
     reached = start.select(F.col("node").alias("root"), "node").distinct().withColumn("distance", F.lit(0)).withColumn("path", F.array("node"))
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    reached = ring = cut_lineage(reached)
     for k in range(1, depth + 1):
-        ring = reached.where(F.col("distance") == k - 1)
         step = ring.join(edges, ring.node == edges.src).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("root", "node").agg(F.min("path").alias("path")).join(reached.select("root", "node"), ["root", "node"], "left_anti")
-        reached = cut_lineage(reached.unionByName(step.select("root", "node", F.lit(k).alias("distance"), "path")))
+        ring = cut_lineage(step.select("root", "node", F.lit(k).alias("distance"), "path"))
+        reached = reached.unionByName(ring)
     return reached.where("distance > 0").join(goal, reached.node == goal.goal, "left_semi")
 
 

@@ -147,15 +147,17 @@ def dominant(df: DataFrame, group: str, category: str, amount: str, least: float
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """``(root, node, distance)``: nodes within ``depth`` steps along ``edges(src, dst)``, with the least distance.
 
-    Each step expands only the newest ring and drops nodes already reached.
+    Each step expands only the newest ring, drops nodes already reached and is
+    written by itself.
     """
-    reached = start.select(F.col("node").alias("root"), "node").distinct().withColumn("distance", F.lit(0))
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    reached = cut_lineage(start.select(F.col("node").alias("root"), "node").distinct().withColumn("distance", F.lit(0)))
     ring = reached
     for k in range(1, depth + 1):
         step = ring.join(edges, ring.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         ring = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
-        reached = cut_lineage(reached.unionByName(ring))
-        ring = reached.where(F.col("distance") == k)
+        ring = cut_lineage(ring)
+        reached = reached.unionByName(ring)
     return reached.where("distance > 0")
 
 

@@ -47,16 +47,40 @@ def quantiles(df: DataFrame, value: str | Column, probabilities: Sequence[float]
     return row.select(*[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * share(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
 
 
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probabilities: Sequence[float]) -> DataFrame:
+    """``g`` (a struct of the group's columns) with the exact interpolated quantiles ``q0``, ``q1``, ... of each group.
+
+    Values are counted by group and dealt by ranges of (group, value); what lies
+    before a range in its group comes from one row a range and group.  No buffer
+    holds a group's values.
+    """
+    v = present(value).cast("double")
+    counted = df.where(v.isNotNull()).groupBy(F.struct(F.lit(0).alias("__none"), *by).alias("g"), v.alias("v")).agg(F.count("*").alias("n"))
+    ranged = cut_lineage(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("g", "part").agg(F.sum("n").alias("size"))
+    before = parts.select("g", "part", (F.sum("size").over(W.partitionBy("g").orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(W.partitionBy("g")).alias("total"))
+    rows = ranged.withColumn("inner", F.sum("n").over(W.partitionBy("g", "part").orderBy("v"))).join(before, ["g", "part"]).select("g", "v", "n", "total", (F.col("inner") + F.col("before")).alias("upto"))
+    told = []
+    for i, p in enumerate(probabilities):
+        at = F.lit(p) * (F.col("total") - 1)
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            told.append(F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("v"))).alias(f"{side}{i}"))
+    out = rows.groupBy("g").agg(F.max("total").alias("total"), *told)
+    share = lambda p: F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))
+    return out.select("g", *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * share(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, moments and exact interpolated quantiles of a column; skewness and kurtosis are those of the population."""
     v = present(column).cast("double")
-    q = F.percentile(v, F.array(*[F.lit(p) for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)]))
-    out = df.groupBy(*by).agg(
+    out = df.groupBy(F.struct(F.lit(0).alias("__none"), *by).alias("g")).agg(
         F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), q.alias("q"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
     )
-    named = {n: F.col("q")[i] for i, n in enumerate(("p5", "p10", "q1", "median", "q3", "p90", "p95"))}
-    out = out.withColumns(named).drop("q")
+    names = ("p5", "p10", "q1", "median", "q3", "p90", "p95")
+    q = grouped_quantiles(df, by, column, (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))
+    out = out.join(q.withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)} | {"g": "__g"}), F.col("g") == F.col("__g"), "left").drop("__g")
+    out = out.select("g.*", *[c for c in out.columns if c != "g"]).drop("__none")
     return out.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1"), "cv": F.when(F.col("mean") != 0, F.col("std") / F.abs("mean"))})
 
 
