@@ -28,6 +28,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / guard(1 + term * d)
             c = guard(1 + term / c)
             out = out * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
     return out
 
 
@@ -37,7 +39,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     inner = np.clip(x, 1e-300, 1 - 1e-16)
     front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inner) + b * np.log1p(-inner))
     low = inner < (a + 1) / (a + b + 2)
-    value = np.where(low, front * _beta_fraction(a, b, np.where(low, inner, 0.5)) / a, 1 - front * _beta_fraction(b, a, np.where(low, 0.5, 1 - inner)) / b)
+    value = np.where(low, front * _beta_fraction(a, b, np.where(low, inner, 0.0)) / a, 1 - front * _beta_fraction(b, a, np.where(low, 0.0, 1 - inner)) / b)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
