@@ -35,6 +35,61 @@ def test_random_tokens_stand_out(spark):
     assert len(found - set(range(40))) <= 2
 
 
+def test_long_runs_and_runs_of_one_kind(spark):
+    """Runs of any length, without digits or without letters, against a corpus of ordinary words and numbers."""
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    mixed = low + low.upper() + "0123456789"
+    hidden = [pick(mixed, n) for n in (40, 400, 513, 600, 2000, 9000)] + [pick(low + low.upper(), 44), pick(low.upper(), 44), pick(low, 60)]
+    parts = ["ra", "ten", "mo", "ling", "ver", "so", "an", "ter", "e", "li", "out", "pre", "ment", "ca", "tion"]
+    word = lambda k: "".join(rng.choices(parts, k=k))
+    prose = [" ".join([word(rng.randint(1, 5)) for _ in range(400)] + [str(rng.randint(1900, 2100)), word(3).upper()]) for _ in range(400)]
+    long_words = [word(10) + word(9).capitalize() for _ in range(200)] + ["0" * 44, "ab" * 300, "x" * 5000]
+    docs = spark.createDataFrame([*enumerate(hidden), *((100 + i, t) for i, t in enumerate(prose + long_words))], "doc_id long, text string")
+    found = {r.doc_id: [(x.start, x.end) for x in r.random] for r in s.find_secrets(docs).where(F.size("random") > 0).collect()}
+    assert {i: found.pop(i, None) for i in range(len(hidden))} == {i: [(0, len(t))] for i, t in enumerate(hidden)}
+    assert len(found) <= 2  # a rate is controlled: of 203 ordinary long runs about one in a hundred at most
+
+
+def test_scores_by_plain_counting(spark):
+    """Every statistic of the battery against loops over the characters."""
+    rng = random.Random(6)
+    words = [("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 19))), rng.randint(1, 50)) for _ in range(3000)] + [("2024", 900), ("A", 7)]
+    null = s.fit_null(spark.createDataFrame(words, "token string, times long"))
+    seen = {c: sum(t.count(c) * n for t, n in words) for c in s._ALL}
+    size = sum(seen[c] for c in s._LOWER)
+    own = s.PRIOR_CHARS / (s.PRIOR_CHARS + size)
+    assert abs(null["moments"]["lower"][0] - (own * 3 / 26 + (1 - own) * sum((seen[c] / size) ** 2 for c in s._LOWER))) < 1e-12
+
+    def runs(told):
+        return sum(a != b for a, b in zip(told, told[1:])), max(len(told) - 1, 0)
+
+    kind = lambda t: ["l" if c.islower() else "u" if c.isupper() else "d" for c in t if c.isalnum()]
+    voice = lambda t: [c.lower() in "aeiou" for c in t if c.isalpha()]
+    for name, of in (("kind", kind), ("vowel", voice)):
+        changes, places = (sum(runs(of(t))[i] * n for t, n in words) for i in (0, 1))
+        assert abs(null[name] - (s.PRIOR_RATES[name] * s.PRIOR_CHARS + changes) / (s.PRIOR_CHARS + places)) < 1e-12
+    tokens = ["z" * 20, "0123456789" * 3, "Zm9v+/Zm9v==_-" * 3, "Ab" * 4000, "DEADBEEF" * 4, "MFRGGZDFMZTWQ2LK" * 2, "x1b2y3" * 5, "-" * 30, "".join(rng.choices(s._ALL, k=4096))]
+    got = {r.token: r for r in s._scores(spark.createDataFrame([(t,) for t in tokens], "token string"), null).collect()}
+    assert [got[t].encoding for t in tokens[:8]] == ["lower", "digits", "base64", "letters", "capital hex", "base32", "lower alnum", "base64"]
+    for t in tokens:
+        if len(t) > 4096:
+            continue  # summed up in pieces
+        n, (q2, q3) = len(t), null["moments"][got[t].encoding]
+        z = [(n + n * (n - 1) * q2 - sum(t.count(c) ** 2 for c in set(t))) / (4 * n * (n - 1) * (n - 2) * (q3 - q2 * q2) + 2 * n * (n - 1) * (q2 - q2 * q2)) ** 0.5]
+        for name, of, sign, counts in (("kind", kind, 1, got[t].encoding not in ("digits", "lower", "upper")), ("vowel", voice, -1, True)):
+            changes, places = runs(of(t))
+            if counts and places:
+                z.append(sign * (changes - null[name] * places) / (places * null[name] * (1 - null[name])) ** 0.5)
+        codes = [ord(c) for c in t]
+        mean = sum(codes) / n
+        spread = sum((c - mean) ** 2 for c in codes)
+        serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread if spread else 1.0
+        serial = (1 if null["serial"] < 0 else -1) * (serial + 1 / n - null["serial"]) * n**0.5
+        assert abs(got[t].z - (sum(z) + 0.5 * serial) / (len(z) + 0.25) ** 0.5) < 1e-6, t[:40]
+
+
 def test_places_in_a_text_of_very_many_matches(spark):
     """Parts of the running sums meet; 30,000 matches in one text of 300 KB."""
     import re
