@@ -3,13 +3,16 @@
 1. Lexicons are mined from the labelled rows that are not held out: words and
    word beginnings whose document frequency among toxic rows far exceeds that
    among clean ones, over all such rows.
-2. Ten voters look at every document: a fixed list of insults, four word
+2. Thirteen voters look at every document: a fixed list of insults, four word
    lexicons by how widely their words spread among toxic rows, four lexicons of
-   word beginnings likewise, and one for several weak signs.
+   word beginnings likewise, one for several weak signs, and three patterns:
+   disguised words (letters starred or spaced out), heated writing (a letter
+   four times or more, three exclamation marks), and an insult of the fixed list
+   within four words after "you".
 3. A generative label model explains how often each pattern of votes occurs in
    the whole corpus: latent class, hit rates of each voter per class.  Voters
    that are correlated within a class are modelled jointly, as one block.
-4. A linear classifier over the mined features is trained on the posterior
+4. A linear classifier over the mined features and the patterns is trained on the posterior
    labels of at most ``TRAIN_ROWS`` documents that are not held out (those of
    least hash) and scores every document.
 
@@ -26,7 +29,7 @@ list alone votes; other columns of the documents are passed or ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +52,10 @@ _LEXICONS = 4
 _BEGINNINGS = (4, 5, 6, 7, 8)
 #: The lexicons hold features by the share of toxic rows they occur in.
 _TIERS = (0.004, 0.012, 0.036)
-VOTERS = 2 + 2 * _LEXICONS
+PATTERNS = ("disguised", "heated", "addressed")
+VOTERS = 2 + 2 * _LEXICONS + len(PATTERNS)
+#: Words that an insult is addressed by, and how many words after them it may stand.
+ADDRESS, REACH = "you your youre u ur yourself".split(), 4
 
 
 def held_out(id_col: str = "doc_id"):
@@ -73,10 +79,87 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(doc)
 
 
+#: Features that stand for the patterns.
+_PATTERN_KEYS = mix(np.arange(1, len(PATTERNS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1)
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_STAR = np.zeros(256, dtype=bool)
+_STAR[list(b"*#$@!")] = True
+
+
+def _word_hashes(words: Sequence[str]) -> np.ndarray:
+    _, _, data, offsets = next(text_chunks(pa.array([" ".join(words)])))
+    return split_words(data, offsets, ALNUM).hash & ~np.uint64(1)
+
+
+def pattern_hits(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
+    """Whether each pattern occurs in each text, one row a pattern.
+
+    Disguised: ``[A-Za-z][*#$@!]+[A-Za-z]`` with at least one ``*``, ``#`` or ``$``,
+    or four letters, each alone, with one blank between.  Heated: one letter four
+    times or more, or ``!!!``.  Addressed: a word of ``ADDRESS`` and one of
+    ``INSULTS`` at most ``REACH`` words later.
+    """
+    texts = len(offsets) - 1
+    out = np.zeros((len(PATTERNS), texts), dtype=bool)
+
+    def mark(pattern: int, first: np.ndarray, last: np.ndarray) -> None:
+        doc = np.searchsorted(offsets, first, side="right") - 1
+        out[pattern, doc[last < offsets[doc + 1]]] = True
+
+    n = len(data)
+    letter = _LETTER[data]
+    # Runs of stars, cut at the ends of texts.
+    star = np.flatnonzero(_STAR[data])
+    if len(star):
+        text = np.searchsorted(offsets, star, side="right") - 1
+        head = np.flatnonzero(np.r_[True, (star[1:] != star[:-1] + 1) | (text[1:] != text[:-1])])
+        first, last = star[head], star[np.r_[head[1:], len(star)] - 1]
+        true = np.logical_or.reduceat((data[star] != 0x40) & (data[star] != 0x21), head)
+        inner = true & (first > 0) & (last < n - 1)
+        first, last = first[inner] - 1, last[inner] + 1
+        both = letter[first] & letter[last]
+        mark(0, first[both], last[both])
+    if n >= 7:
+        # A letter alone: no letter or digit beside it in its own text.
+        beside = ALNUM[data]
+        left, right = np.r_[False, beside[:-1]], np.r_[beside[1:], False]
+        left[offsets[:-1][offsets[:-1] < n]] = False
+        right[offsets[1:][offsets[1:] > 0] - 1] = False
+        alone = letter & ~left & ~right
+        at = np.flatnonzero(alone)
+        at = at[at + 6 < n]
+        for k in (1, 2, 3):
+            at = at[alone[at + 2 * k] & (data[at + 2 * k - 1] == 0x20)]
+        mark(0, at, at + 6)
+    if n >= 4:
+        low = words.low
+        same = low[1:] == low[:-1]
+        at = np.flatnonzero(same[:-2] & same[1:-1] & same[2:] & letter[:-3])
+        mark(1, at, at + 3)
+    if n >= 3:
+        cry = data == 0x21
+        at = np.flatnonzero(cry[:-2] & cry[1:-1] & cry[2:])
+        mark(1, at, at + 2)
+    plain = words.hash & ~np.uint64(1)
+    you, insult = np.flatnonzero(np.isin(plain, _ADDRESS_HASHES)), np.isin(plain, _INSULT_HASHES)
+    for k in range(1, REACH + 1):
+        some = you[you + k < len(plain)]
+        some = some[insult[some + k] & (words.doc[some] == words.doc[some + k])]
+        out[2, words.doc[some]] = True
+    return out
+
+
+_INSULT_HASHES, _ADDRESS_HASHES = _word_hashes(INSULTS), _word_hashes(ADDRESS)
+
+
 def _per_text(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of texts, distinct features, text of each) by run of texts."""
     for begin, end, data, offsets in text_chunks(column):
-        hashes, doc = _features(split_words(data, offsets, ALNUM))
+        words = split_words(data, offsets, ALNUM)
+        hashes, doc = _features(words)
+        pattern, where = np.nonzero(pattern_hits(data, offsets, words))
+        hashes, doc = np.r_[hashes, _PATTERN_KEYS[pattern]], np.r_[doc, where]
         order = np.lexsort((hashes, doc))
         hashes, doc = hashes[order], doc[order]
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, dtype=bool)
@@ -133,12 +216,6 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(doc, self.weights[found], minlength=n))))
 
 
-def _insult_hashes() -> np.ndarray:
-    column = pa.array([" ".join(INSULTS)])
-    _, _, data, offsets = next(text_chunks(column))
-    return split_words(data, offsets, ALNUM).hash & ~np.uint64(1)
-
-
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
     """Texts of toxic and of clean rows that labels may be learnt from, those labels and their numbers."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
@@ -246,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # What tells toxic rows apart stays, by weight of evidence where that is too much.
     kept = met.withColumn("odds", odds).where(F.col("odds") >= 1.5).orderBy(F.desc(F.col("odds") * F.log1p("n")), "feature").limit(MAX_FEATURES).toPandas()
     keys, t, odds = kept["feature"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=float), kept["odds"].to_numpy(dtype=float)
-    fixed = np.setdiff1d(_insult_hashes(), keys)
+    fixed = np.setdiff1d(np.r_[_INSULT_HASHES, _PATTERN_KEYS], keys)
     keys, odds = np.concatenate([keys, fixed]), np.concatenate([odds, np.full(len(fixed), 3.5)])
     order = np.argsort(keys)
     keys, odds = keys[order], odds[order]
@@ -254,8 +331,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     group = np.searchsorted(_TIERS, share, side="right")
     strong = odds >= 3
     voter = np.where(strong, 1 << (1 + group + _LEXICONS * (keys & np.uint64(1)).astype(np.int64)), 0)
-    voter |= np.isin(keys, _insult_hashes()).astype(np.int64)
-    model = Model(keys, voter, (odds < 3).astype(float), np.zeros(len(keys)), 0.0, np.zeros(1 << VOTERS))
+    voter |= np.isin(keys, _INSULT_HASHES).astype(np.int64)
+    for k, key in enumerate(_PATTERN_KEYS):
+        voter[keys == key] = 1 << (1 + 2 * _LEXICONS + k)
+    model = Model(keys, voter, ((odds < 3) & ~np.isin(keys, _PATTERN_KEYS)).astype(float), np.zeros(len(keys)), 0.0, np.zeros(1 << VOTERS))
     voted = scratch.put(_looked(docs, model, id_col, text_col), "voted")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     met = voted.join(known, id_col).groupBy("votes").agg(F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic"))

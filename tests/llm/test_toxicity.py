@@ -1,8 +1,11 @@
 import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spectrafold.llm import toxicity as t
+from spectrafold.llm._text import ALNUM, split_words, text_chunks
 
 
 def tables(spark):
@@ -48,3 +51,44 @@ def test_without_labels_or_rows(spark):
     model = t.fit(docs, labels.limit(0))
     assert {r.doc_id for r in t.score(docs, model).where(F.col("score") >= t.THRESHOLD).collect()} >= {1002}
     assert t.score(docs.limit(0), t.fit(docs.limit(0), labels)).count() == 0
+
+
+def plain_patterns(text: str) -> tuple[bool, bool, bool]:
+    """The patterns by regular expressions, one text at a time."""
+    starred = any(re.search("[*#$]", m[0]) for m in re.finditer("(?<=[A-Za-z])[*#$@!]+(?=[A-Za-z])", text))
+    alone = "(?<![A-Za-z0-9\x80-\U0010ffff])[A-Za-z](?![A-Za-z0-9\x80-\U0010ffff])"
+    spaced = re.search(" ".join([alone] * 4), text)
+    heated = re.search(r"([a-z])\1{3}", re.sub("[A-Z]", lambda m: m[0].lower(), text)) or "!!!" in text
+    words = re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    addressed = any(w in t.ADDRESS and set(words[i + 1 : i + 1 + t.REACH]) & set(t.INSULTS) for i, w in enumerate(words))
+    return bool(starred or spaced), bool(heated), bool(addressed)
+
+
+def test_patterns_by_regular_expressions():
+    rng = random.Random(2)
+    texts = ["f**k", "a@b.com", "a@*b", "*a*", "x*", "*y", "a b c d", "a b c", "a b c dd", "1a b c d", "aaa", "Aaaa", "no!!!", "wow!!", "!", "", None, "you idiot", "you are such a loser", "you 1 2 3 4 loser", "you", "idiot", "e f g h i", "éa b c d"]
+    pieces = ["a", "B", "b", " ", " ", "*", "!", "@", "you", "idiot", "scum", "é", "7", "aa", ". "]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(6000)]
+    column, got = pa.array(texts), []
+    for _, _, data, offsets in text_chunks(column, 5000):
+        got += map(tuple, t.pattern_hits(data, offsets, split_words(data, offsets, ALNUM)).T.tolist())
+    assert got == [plain_patterns(x or "") for x in texts]
+    for k in range(3):
+        assert 40 < sum(g[k] for g in got) < 5960
+
+
+def test_patterns_vote(spark):
+    """Toxic rows that no lexicon can know: each insult is starred in its own way."""
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = []
+    for i in range(900):
+        text = [rng.choice(words) for _ in range(40)]
+        if i % 5 == 0:
+            text[rng.randrange(40)] = "".join(rng.choices(letters, k=3)) + "**" + "".join(rng.choices(letters, k=3))
+        docs.append((i, " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs if i % 3], "doc_id long, toxic int")
+    held = [(r.score >= t.THRESHOLD, r.doc_id % 5 == 0) for r in t.score(frame, t.fit(frame, labels)).where(t.held_out()).collect()]
+    assert all(h == y for h, y in held)
