@@ -9,6 +9,7 @@ from spectrafold.operators import cleaning as c
 from spectrafold.operators import features as ft
 from spectrafold.operators import matrix as mx
 from spectrafold.operators import relations as r
+from spectrafold.operators.permutation import empirical_p, label_permutations
 from spectrafold.plans.tabular import rounded
 from spectrafold.registry import register
 from spectrafold.session import table
@@ -272,13 +273,18 @@ def cosine_neighbours(spark, d):
  n AS (SELECT b, avg(v) FILTER (WHERE r<=k) - avg(v) FILTER (WHERE r>k) x FROM p, o GROUP BY b)
 SELECT round(any_value(o.x),4) AS observed, count(*) AS shuffles, (count(*) FILTER (WHERE abs(n.x)>=abs(o.x))+1)/(count(*)+1)::DOUBLE AS p FROM n, o""")
 def permutation_test(spark, d):
-    """Label shuffles by a keyed hash, all shuffles as one grouped aggregation."""
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"), (F.col("s_nationkey") < 12).alias("g"))
-    o = s.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("observed"), F.count_if("g").alias("k"))
-    p = s.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(99))))
-    p = p.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.md5(F.concat_ws(":", F.col("s_suppkey").cast("string"), F.col("b").cast("string")))))).crossJoin(F.broadcast(o))
-    n = p.groupBy("b").agg((F.avg(F.when(F.col("r") <= F.col("k"), F.col("v"))) - F.avg(F.when(F.col("r") > F.col("k"), F.col("v")))).alias("x"), F.first("observed").alias("observed"))
-    return n.agg(F.round(F.first("observed"), 4).alias("observed"), F.count("*").alias("shuffles"), ((F.count_if(F.abs("x") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    """Label shuffles by a keyed hash."""
+    permuted = label_permutations(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", F.col("s_nationkey") < 12, 99)
+    return empirical_p(permuted).select(F.round("observed", 4).alias("observed"), "shuffles", "p")
+
+
+@register("permutation_welch", """WITH s AS (SELECT o_orderkey, o_totalprice::DOUBLE v, o_orderpriority IN ('1-URGENT','2-HIGH') g FROM orders), k AS (SELECT count(*) FILTER (WHERE g) k FROM s), b AS (SELECT unnest(range(0,20)) b),
+ p AS (SELECT b, v, CASE WHEN b=0 THEN g ELSE row_number() OVER (PARTITION BY b ORDER BY md5(o_orderkey::VARCHAR || ':' || b::VARCHAR)) <= k END h FROM s, b, k),
+ n AS (SELECT b, (avg(v) FILTER (WHERE h) - avg(v) FILTER (WHERE NOT h))/sqrt(var_samp(v) FILTER (WHERE h)/count(*) FILTER (WHERE h) + var_samp(v) FILTER (WHERE NOT h)/count(*) FILTER (WHERE NOT h)) t FROM p GROUP BY b)
+SELECT b AS draw, round(t,6) AS statistic FROM n""")
+def permutation_welch(spark, d):
+    label = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return label_permutations(table(spark, d, "orders"), "o_orderkey", "o_totalprice", label, 19, "welch_t").select("draw", F.round("statistic", 6).alias("statistic"))
 
 
 @register("sessions", """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END n, event_id FROM events),
