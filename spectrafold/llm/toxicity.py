@@ -24,7 +24,9 @@ fixed bound.
 Defined results: null and empty texts have no features and get the model's
 base score; labels that are null are ignored and of several labels of an id
 the highest counts; repeated rows each get a row; without labels the fixed
-list alone votes; other columns of the documents are passed or ignored.
+list and the patterns alone vote; ties of equal features fall by their hash; a
+very long text is one run, read whole, at some dozens of bytes of memory a byte;
+other columns of the documents are passed or ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ the work within a shard runs in numpy, where Spark partitions it.
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and rows without a label, link with nothing; vectors of unequal
 length have no cosine and no link; repeated ids are told apart only by their
-vectors; an empty table gives an empty result; other columns are not read.
+vectors, and ``n_links`` counts rows, so that of equal rows each counts; ties in
+similarity can change which edges a graph keeps, and so at most which links are
+found, never whether a found one holds; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
