@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrafold.operators.inference import shuffled
+
 #: Bits of a digit, digits of an order, and rows of a draw that are put in order at last.
 BITS, DIGITS, LAST = 10, 6, 1000
 _SUMS = ("n", "s", "q")
@@ -89,3 +91,9 @@ def empirical_p(permuted: DataFrame, alternative: str = "two-sided") -> DataFram
     seen, drawn = F.max(F.when(F.col("draw") == 0, F.col("statistic"))).alias("observed"), permuted.where("draw > 0")
     out = {"two-sided": F.abs("statistic") >= F.abs("observed"), "greater": F.col("statistic") >= F.col("observed"), "less": F.col("statistic") <= F.col("observed")}[alternative]
     return drawn.crossJoin(F.broadcast(permuted.agg(seen))).agg(F.first("observed").alias("observed"), F.count("statistic").alias("shuffles"), ((F.count_if(out) + 1) / (F.count("statistic") + 1)).alias("p"))
+
+
+def shuffle_residuals(df: DataFrame, id_col: str, y: str, predicted: str, seed: str = "0") -> DataFrame:
+    """``df`` with ``y`` anew: what is predicted plus another row's residual, each dealt once.  Ids should be unique."""
+    dealt = shuffled(df.withColumn("__residual", F.col(y) - F.col(predicted)), id_col, ["__residual"], seed)
+    return dealt.withColumn(y, F.col(predicted) + F.col("__residual")).select(*df.columns)

@@ -9,7 +9,7 @@ from spectrafold.operators import cleaning as c
 from spectrafold.operators import features as ft
 from spectrafold.operators import matrix as mx
 from spectrafold.operators import relations as r
-from spectrafold.operators.permutation import empirical_p, label_permutations
+from spectrafold.operators.permutation import empirical_p, label_permutations, shuffle_residuals
 from spectrafold.plans.tabular import rounded
 from spectrafold.registry import register
 from spectrafold.session import table
@@ -287,6 +287,16 @@ def permutation_welch(spark, d):
     return label_permutations(table(spark, d, "orders"), "o_orderkey", "o_totalprice", label, 19, "welch_t").select("draw", F.round("statistic", 6).alias("statistic"))
 
 
+@register("residual_shuffle", """WITH p AS (SELECT p_partkey, p_size::DOUBLE x, p_retailprice::DOUBLE y FROM part), f AS (SELECT regr_slope(y,x) b, regr_intercept(y,x) a FROM p),
+ r AS (SELECT p_partkey, a+b*x fit, y-(a+b*x) e, row_number() OVER (ORDER BY p_partkey) i, row_number() OVER (ORDER BY md5('0:__residual:' || p_partkey::VARCHAR)) j FROM p, f)
+SELECT r.p_partkey, round(r.fit+s.e,4) AS y FROM r JOIN r s ON r.i=s.j""")
+def residual_shuffle(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
+    line = p.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    fitted = p.crossJoin(F.broadcast(line)).select("p_partkey", "y", (F.col("a") + F.col("b") * F.col("x")).alias("fit"))
+    return shuffle_residuals(fitted, "p_partkey", "y", "fit").select("p_partkey", F.round("y", 4).alias("y"))
+
+
 @register("sessions", """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END n, event_id FROM events),
  k AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) k FROM s)
 SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM k GROUP BY user_id, k""")
