@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,11 +170,16 @@ def _assigner(shared):
     return run
 
 
-def _cosine(a: str, b: str):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scaled = lambda x: F.transform(x, lambda v: v / F.array_max(F.transform(x, lambda w: F.abs(w))))
-    a, b = scaled(a), scaled(b)  # so that neither very small nor very large vectors leave the range of doubles
-    return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``a, b, x, y`` the pairs whose vectors have a cosine of ``BOUND`` or more in double precision."""
+    for batch in batches:
+        x, y = batch.column(2), batch.column(3)
+        size, keep = x.value_lengths().to_numpy(), np.zeros(len(batch), dtype=bool)
+        for k in np.unique(size):
+            some = np.flatnonzero(size == k)
+            p, q = (v.take(pa.array(some)).flatten().to_numpy().reshape(-1, k) for v in (x, y))
+            keep[some] = np.einsum("nd,nd->n", _unit(p), _unit(q)) >= BOUND
+        yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -204,7 +210,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     further = further.join(links, ["a", "b"], "left_anti")
     vectors = classes.select("cid", "vec")
     checked = further.join(vectors.select(F.col("cid").alias("a"), F.col("vec").alias("x")), "a").join(vectors.select(F.col("cid").alias("b"), F.col("vec").alias("y")), "b")
-    more = checked.where(_cosine("x", "y") >= BOUND).select("a", "b")
+    more = checked.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     links = scratch.put(links.union(more), "all_links")
     groups = connected_components(links, scratch, "groups")
     ends = links.union(links.select("b", "a"))

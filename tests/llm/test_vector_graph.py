@@ -1,5 +1,7 @@
 import numpy as np
 
+import pyarrow as pa
+
 from spectrafold.llm import vector_graph as g
 
 
@@ -59,3 +61,17 @@ def test_very_small_and_very_large_vectors(spark):
     rows = [(1, [1e-60, 1e-60], 1), (2, [1.0, 1.0], 1), (3, [1e200, 1e-3], 1), (4, [1e39, 1.0], 1), (5, [1e200, 1e200], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in g.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3)}
+
+
+def test_pairs_are_verified_in_step():
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=3 + i % 2) * 10.0 ** rng.integers(-200, 200)
+        rows.append((i, i + 1, x.tolist(), ((x / np.abs(x).max() + rng.normal(size=len(x)) * 0.3) * 10.0 ** rng.integers(-200, 200)).tolist()))
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    want = [(a, b) for a, b, x, y in rows if unit(x) @ unit(y) >= g.BOUND]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "x", "y"])
+    got = [(r["a"], r["b"]) for out in g._verified(whole.slice(i, 90) for i in range(0, 400, 90)) for r in out.to_pylist()]
+    assert got == want and 50 < len(want) < 350
