@@ -108,9 +108,9 @@ def residual_graph(values: DataFrame, design: DataFrame, k: int = 20, threshold:
     return edges.join(named("s", "src"), "s").join(named("d", "dst"), "d").select("src", "dst", "weight")
 
 
-def edge_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Undirected edges without loops of each graph, those of both, and their share of all."""
+def edge_overlap(first: DataFrame, second: DataFrame, no_edges: float = 0.0) -> DataFrame:
+    """Undirected edges without loops of each graph, those of both, and their share of all; a share of no edges at all is ``no_edges``."""
     sides = [g.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn(n, F.lit(1)) for g, n in ((first, "l"), (second, "r"))]
     both = sides[0].join(sides[1], ["a", "b"], "full_outer").agg(F.count("l").alias("edges_first"), F.count("r").alias("edges_second"), F.count(F.col("l") + F.col("r")).alias("shared"))
-    share = lambda of: F.coalesce(F.try_divide("shared", of), F.lit(0.0))
+    share = lambda of: F.coalesce(F.try_divide("shared", of), F.lit(no_edges))
     return both.withColumns({"jaccard": share(F.col("edges_first") + F.col("edges_second") - F.col("shared")), "of_first": share(F.col("edges_first")), "of_second": share(F.col("edges_second"))})

@@ -55,8 +55,8 @@ def residual_graph(spark, d):
  t AS (SELECT DISTINCT CASE WHEN p.p_brand<q.p_brand THEN p.p_brand ELSE q.p_brand END a, CASE WHEN p.p_brand<q.p_brand THEN q.p_brand ELSE p.p_brand END b FROM part p JOIN part q ON q.p_partkey=p.p_partkey+1 AND p.p_size=q.p_size AND p.p_brand<>q.p_brand)
 SELECT (SELECT count(*) FROM z) AS edges_first, (SELECT count(*) FROM t) AS edges_second, count(*) AS shared, round(count(*)/((SELECT count(*) FROM z)+(SELECT count(*) FROM t)-count(*)),6) AS jaccard, round(count(*)/(SELECT count(*) FROM z),6) AS of_first, round(count(*)/(SELECT count(*) FROM t),6) AS of_second FROM z JOIN t USING(a,b)""")
 def graph_overlap(spark, d):
-    """Edges shared with brands of neighbouring parts of one size."""
+    """Edges shared with brands of neighbouring parts of one size; as in SQL, a share of no edges is no number."""
     design = table(spark, d, "supplier").select(c("s_suppkey").alias("sample"), F.array("s_acctbal").alias("design"))
     p = table(spark, d, "part").select("p_partkey", "p_size", c("p_brand").alias("src"))
     q = table(spark, d, "part").select((c("p_partkey") - 1).alias("p_partkey"), "p_size", c("p_brand").alias("dst"))
-    return rounded(x.edge_overlap(x.residual_graph(_sold(spark, d), design, 3, 0.05), p.join(q, ["p_partkey", "p_size"])), 6)
+    return rounded(x.edge_overlap(x.residual_graph(_sold(spark, d), design, 3, 0.05), p.join(q, ["p_partkey", "p_size"]), float("nan")), 6)
