@@ -26,6 +26,7 @@ def _sums(value: Column) -> list[Column]:
 
 def _statistic(kind: str, n: Column, s: Column, q: Column, all_n: Column, all_s: Column, all_q: Column) -> Column:
     """Of the labelled rows' sums against the others'; null where a side has too few rows."""
+    n, all_n = n.cast("double"), all_n.cast("double")  # squares of counts exceed integers
     other = (all_n - n, all_s - s, all_q - q)
     mean = lambda n, s: F.try_divide(s, n)
     gap = mean(n, s) - mean(other[0], other[1])
@@ -48,7 +49,9 @@ def label_permutations(df: DataFrame, id_col: str, value: str, label: Column, dr
     whole = rows.agg(*_sums(F.col("v")), *[c.alias(f"g{name}") for name, c in zip(_SUMS, (F.count_if("g"), *[F.coalesce(F.sum(F.when(F.col("g"), x)), F.lit(0.0)) for x in (F.col("v"), F.col("v") * F.col("v"))]))]).first()
     spark = df.sparkSession
     totals = [F.lit(whole[c]) for c in _SUMS]
-    keyed = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("order", F.md5(F.concat_ws(":", "id", F.col("draw").cast("string"))))
+    # Each row becomes as many as there are draws, so a small file is dealt to all tasks first.
+    dealt_out = rows.repartition(spark.sparkContext.defaultParallelism, "id")
+    keyed = dealt_out.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("order", F.md5(F.concat_ws(":", "id", F.col("draw").cast("string"))))
     keyed = keyed.withColumn("bits", F.conv(F.substring("order", 1, 15), 16, 10).cast("long"))
     # Of each draw: the leading bits of the cut, rows still to take, and the sums of those taken.
     state = {b: {"prefix": 0, "left": whole["gn"], "n": 0, "s": 0.0, "q": 0.0, "size": whole["n"]} for b in range(1, draws + 1)}

@@ -5,8 +5,10 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from spectrafold import registry
+from spectrafold.operators import permutation as p
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +36,12 @@ def test_share_of_a_graph_without_edges(spark, tables):
     got, (want,) = registry.queries()["graph_overlap"](spark, folder).first(), sql("graph_overlap")
     assert got.edges_first == 0 and math.isnan(got.of_first) and math.isnan(want[4])
     assert tuple(got)[:4] == want[:4] and got.of_second == want[5]
+
+
+def test_welch_of_more_rows_than_integers_square(spark):
+    """Of 200,000 rows the squares of the counts are no integers any more."""
+    df = spark.range(200_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"))
+    got = {r.draw: r.statistic for r in p.label_permutations(df, "id", "v", F.col("id") % 2 == 0, 2, "welch_t").collect()}
+    side = lambda k: df.where(F.col("id") % 2 == k).agg(F.avg("v"), F.var_samp("v")).first()
+    (a, va), (b, vb) = side(0), side(1)
+    assert math.isclose(got[0], (a - b) / math.sqrt((va + vb) / 100_000), rel_tol=1e-9) and len(got) == 3 and None not in got.values()
