@@ -4,7 +4,8 @@ A matrix is a folder of Parquet: ``cells`` in partitions of row blocks and colum
 blocks, ``rows`` and ``columns`` with the names in order.  A slice turns into
 filters on the partitions, so Spark lists and opens only the blocks asked for, and
 into filters on positions, which the files' own statistics narrow further, as
-cells are sorted by row.  Cells that are not stored are zero.
+cells are sorted by the blocks asked for.  Blocks that would be too many folders
+are joined to larger ones.  Cells that are not stored are zero.
 """
 
 from __future__ import annotations
@@ -19,24 +20,39 @@ from spectrafold.operators.statistics import numbered
 ROWS, COLUMNS = 1 << 16, 1 << 10
 #: Positions that are put into a filter one by one; more of them are joined.
 LISTED = 1000
+#: Blocks have folders of their own up to this many, or up to one for as many cells as the second number says.
+FOLDERS, FOLDER_CELLS = 1024, 1 << 22
 
 
 def write_matrix(cells: DataFrame, folder: str, block_rows: int = ROWS, block_columns: int = COLUMNS) -> None:
     """Store ``cells(row, column, value)`` by name; repeated cells are summed, zeros and cells without name dropped.
 
-    Names get their positions in order.  Blocks of a matrix that is empty in them don't exist.
+    Names get their positions in order.  Blocks of a matrix that is empty in them
+    don't exist; where there are too many (``FOLDERS``), blocks are doubled in
+    the direction that has more of them until there are few enough.
     """
     spark = cells.sparkSession
-    summed = cells.where("row IS NOT NULL AND column IS NOT NULL").groupBy("row", "column").agg(F.sum("value").cast("double").alias("value"))
-    names = {}
-    for side, block in (("row", block_rows), ("column", block_columns)):
-        named = numbered(summed.select(F.col(side).alias("name")).distinct(), ["name"], "at").select("name", (F.col("at") - 1).alias("at"))
+    cells = cells.where("row IS NOT NULL AND column IS NOT NULL")
+    names, sizes, asked = {}, {}, {"row": block_rows, "column": block_columns}
+    for side in asked:
+        named = numbered(cells.select(F.col(side).alias("name")).distinct(), ["name"], "at").select("name", (F.col("at") - 1).alias("at"))
         named.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/{side}s")
-        names[side] = spark.read.parquet(f"{folder}/{side}s").select(F.col("name").alias(side), F.col("at").alias(f"{side}_at"), F.floor(F.col("at") / block).cast("int").alias(f"{side}_block"))
-    placed = summed.where("value <> 0").join(names["row"], "row").join(names["column"], "column")
-    placed = placed.select("row_block", "column_block", F.col("row_at"), F.col("column_at"), "value")
-    placed.repartition("row_block", "column_block").sortWithinPartitions("row_block", "column_block", "row_at", "column_at").write.mode("overwrite").partitionBy("row_block", "column_block").parquet(f"{folder}/cells")
-    spark.createDataFrame([(block_rows, block_columns)], "block_rows int, block_columns int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
+        names[side] = spark.read.parquet(f"{folder}/{side}s")
+        sizes[side] = footer_rows(spark, f"{folder}/{side}s")
+    block, many = dict(asked), lambda side: -(-sizes[side] // block[side])
+    if many("row") * many("column") > FOLDERS:
+        most = max(FOLDERS, cells.count() // FOLDER_CELLS)
+        while many("row") * many("column") > most:
+            block[max(block, key=many)] *= 2
+    placed = cells.groupBy("row", "column").agg(F.sum("value").cast("double").alias("value")).where("value <> 0")
+    for side, named in names.items():
+        placed = placed.join(named.select(F.col("name").alias(side), F.col("at").alias(f"{side}_at")), side)
+    blocks = [F.floor(F.col(f"{side}_at") / b).cast("int").alias(f"{side}_block") for side, b in block.items()]
+    within = [F.floor(F.col(f"{side}_at") / b) for side, b in asked.items()]
+    placed = placed.select(*blocks, "row_at", "column_at", "value").repartition("row_block", "column_block")
+    placed = placed.sortWithinPartitions("row_block", "column_block", *within, "row_at", "column_at")
+    placed.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("row_block", "column_block").parquet(f"{folder}/cells")
+    spark.createDataFrame([(block["row"], block["column"])], "block_rows int, block_columns int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
 
 
 def shape(spark: SparkSession, folder: str) -> tuple[int, int]:

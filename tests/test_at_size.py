@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrafold import registry
 from spectrafold.operators import permutation as p
+from spectrafold.sources import sparse as sp
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,3 +46,16 @@ def test_welch_of_more_rows_than_integers_square(spark):
     side = lambda k: df.where(F.col("id") % 2 == k).agg(F.avg("v"), F.var_samp("v")).first()
     (a, va), (b, vb) = side(0), side(1)
     assert math.isclose(got[0], (a - b) / math.sqrt((va + vb) / 100_000), rel_tol=1e-9) and len(got) == 3 and None not in got.values()
+
+
+def test_many_blocks_share_folders(spark, tmp_path, monkeypatch):
+    """A matrix of 30 blocks in at most 6 folders has the same slices."""
+    monkeypatch.setattr(sp, "FOLDERS", 6, raising=False)
+    cells = {(a, b): float(a * b % 7 - 3) for a in range(60) for b in range(0, 40, 1 + a % 3)}
+    folder = str(tmp_path / "m")
+    sp.write_matrix(spark.createDataFrame([(a, b, v) for (a, b), v in cells.items()] + [(5, 5, 1.0), (None, 1, 1.0)], "row int, column int, value double"), folder, 10, 8)
+    cells[5, 5] = cells.get((5, 5), 0.0) + 1.0
+    assert 1 < len(list((tmp_path / "m" / "cells").glob("row_block=*/column_block=*"))) <= 6 and sp.shape(spark, folder) == (60, 40)
+    for rows, columns in ((None, None), (range(10, 25), range(3, 9)), (range(59, 60), None), ([3, 41], range(0, 40))):
+        want = {k: v for k, v in cells.items() if v and (rows is None or k[0] in rows) and (columns is None or k[1] in columns)}
+        assert {(r.row, r.column): r.value for r in sp.read_slice(spark, folder, rows, columns).collect()} == want
