@@ -13,26 +13,32 @@ third of all rows costs two aggregations with map-side combination and no pairs.
 That gives what the sequential choice gives.  Rounds go on until all rows are
 decided; a round reads only what the round before left undecided.
 
-Pairs of like titles come from shared character pairs: two titles of a ratio of
-at least 0.9 differ in so few characters that they share one of the rarest
-character pairs of each, which is exact; the ratio itself is computed for the
-pairs left, in Arrow batches.
+Like titles are looked for among all pairs of like lengths, which is exact:
+titles of a ratio of at least 0.9 differ in few characters, so counts of
+characters, compared in tiles of chunks in order of length, and then of pairs of
+characters rule nearly all others out; the ratio itself is computed for the
+pairs left, in Arrow batches.  A task holds two chunks of bounded text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectrafold.operators.relations import token_pairs
-from spectrafold.session import cut_lineage
+from spectrafold.operators.statistics import numbered
+from spectrafold.session import bounded_batches, cut_lineage
 
 _CELL = ["kind", "key"]
+#: Titles of a chunk, of 256 characters or fewer, and rows of it compared at a time.
+CHUNK, TILE = 1024, 256
 
 
 def _reach(cells: DataFrame, looks: DataFrame | None, value: str, back: bool) -> DataFrame:
@@ -82,31 +88,70 @@ def sequence_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old)], dtype=float)
 
 
+def _near(threshold: float):
+    """Pairs of two chunks of titles that counts of characters, and of pairs of them, don't rule out."""
+
+    def counted(keys: list[str]) -> np.ndarray:
+        """How often characters occur in each text, by the last bits of their codes; more than fit count as the most."""
+        out = np.zeros((len(keys), 64), np.int16)
+        for i, k in enumerate(keys):
+            out[i] = np.minimum(np.bincount(np.frombuffer(k.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64), 1 << 14)
+        return out
+
+    def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for same, a, b in zip(part["same"], part["a"], part["b"]):
+                counts, lengths = (counted(a), counted(b)), (np.array([len(k) for k in a]), np.array([len(k) for k in b]))
+                grams: list[dict] = [{}, {}]
+
+                def pairs(side: int, at: int, key: str) -> Counter:
+                    if at not in grams[side]:
+                        grams[side][at] = Counter(zip(key, key[1:]))
+                    return grams[side][at]
+
+                keys, others = [], []
+                for at in range(0, len(a), TILE):
+                    most = (1 - threshold) * (lengths[0][at : at + TILE, None] + lengths[1][None, :]) + 1e-9
+                    apart = np.zeros(most.shape, np.int32)
+                    for k in range(64):
+                        one, two = counts[0][at : at + TILE, k], counts[1][:, k]
+                        if one.any() or two.any():
+                            apart += np.abs(one[:, None] - two[None, :])
+                    for x, y in np.argwhere(apart <= most):
+                        x += at
+                        if same and x >= y:
+                            continue
+                        least = max(len(a[x]), len(b[y])) - 1 - 2 * int((1 - threshold) * (len(a[x]) + len(b[y])) + 1e-9)
+                        if (pairs(0, x, a[x]) & pairs(1, y, b[y])).total() >= least:
+                            keys.append(a[x])
+                            others.append(b[y])
+                yield pd.DataFrame({"key": keys, "other": others}, dtype=object)
+
+    return near
+
+
 def similar_titles(titles: DataFrame, title: str, threshold: float = 0.9) -> DataFrame:
     """``(key, other, ratio)`` of distinct titles whose ratio, with ``other`` as the earlier one, is at least the threshold."""
     if threshold < 0.9:
-        raise ValueError("shared character pairs find all pairs of a ratio of at least 0.9 only")
+        raise ValueError("a ratio of less than 0.9 leaves too many pairs")
     each = titles.select(F.col(title).alias("key")).where(F.length(title) > 0).distinct().withColumn("n", F.length("key"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda k: F.substring("key", k, F.lit(2)))
-    # A pair of characters counts as often as it occurs: the k-th occurrence is a token of its own.
-    told = each.select("key", "n", F.posexplode(grams).alias("at", "gram")).groupBy("key", "n", "gram").agg(F.count("*").alias("times"))
-    tokens = told.select("key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda k: F.concat_ws("#", "gram", k))).alias("token"))
-    tokens = cut_lineage(tokens)
-    common = tokens.groupBy("token").agg(F.count("*").alias("c"))
-    ranked = tokens.join(common, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("ranked"))
-    # At a ratio r, titles of n and t characters differ in at most (1 - r)(n + t) of them, and t is at most n (2 - r) / r.
-    differ = F.floor(F.lit(2 * (1 - threshold) / threshold) * F.col("n") + 1e-9).cast("int")
-    ranked = cut_lineage(ranked.select("key", "n", F.transform("ranked", lambda x: x["token"]).alias("all"), (2 * differ + 1).alias("prefix")))
-    first = ranked.select("key", "n", F.explode(F.slice("all", 1, F.col("prefix"))).alias("token"))
-    other = first.select(F.col("key").alias("other"), F.col("n").alias("m"), "token")
-    fits = (F.col("key") < F.col("other")) & (2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")) - 1e-9)
-    met = first.join(other, "token").where(fits).select("key", "other").distinct()
-    sides = [ranked.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("all").alias(f"all_{c}")) for c in ("key", "other")]
-    met = met.join(sides[0], "key").join(sides[1], "other")
-    length = F.col("n_key") + F.col("n_other")
-    least = F.greatest("n_key", "n_other") - 1 - 2 * F.floor(F.lit(1 - threshold) * length + 1e-9)
-    met = met.where(F.size(F.array_intersect("all_key", "all_other")) >= least).select("key", "other")
-    both = met.union(met.select("other", "key"))
+    bounded_batches(titles.sparkSession)
+    # Chunks in order of length; of longer titles a chunk has fewer.
+    double = F.pow(F.lit(2.0), F.ceil(F.log2("n")))
+    placed = numbered(each.withColumn("double", double), ["n", "key"], "at")
+    placed = placed.withColumn("chunk", F.floor(F.col("at") / F.greatest(F.lit(1.0), F.least(F.lit(float(CHUNK)), F.lit(CHUNK * 256.0) / F.col("double")))))
+    chunks = placed.groupBy("double", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list("key").alias("keys"))
+    chunks = cut_lineage(chunks.withColumn("id", F.struct("least", "double", "chunk")))
+    sides = [chunks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "least", "most")]) for s in "ab"]
+    # Of n characters and more of them, m, a ratio r needs m <= n (2 - r) / r.
+    fits = (F.col("id_a") <= F.col("id_b")) & (F.col("least_b") <= F.col("most_a") * ((2 - threshold) / threshold) + 1e-9)
+    tasks = 4 * titles.sparkSession.sparkContext.defaultParallelism
+    met = sides[0].crossJoin(sides[1]).where(fits).select("id_a", "id_b").repartition(tasks, "id_a", "id_b")
+    for s in "ab":
+        met = met.join(chunks.select(F.col("id").alias(f"id_{s}"), F.col("keys").alias(s)), f"id_{s}")
+    met = met.select((F.col("id_a") == F.col("id_b")).alias("same"), "a", "b")
+    met = cut_lineage(met.mapInPandas(_near(threshold), "key string, other string"))
+    both = met.union(met.select("other", "key")).repartition(tasks, "key", "other")
     return both.withColumn("ratio", sequence_ratio("key", "other")).where(F.col("ratio") >= threshold)
 
 

@@ -45,3 +45,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written to the cluster's shared checkpoint folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Batches for Python workers hold at most about ``most`` bytes, where a row is a chunk of a table; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or not str(said).isdigit() or int(said) > most:
+        spark.conf.set(key, str(most))

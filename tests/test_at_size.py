@@ -1,7 +1,10 @@
 """What larger and odder tables than the driver's smallest brought to light, each query against its SQL."""
 
 import math
+import random
 import shutil
+import time
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spectrafold import registry
 from spectrafold.operators import permutation as p
+from spectrafold.operators import selection as s
 from spectrafold.sources import sparse as sp
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +63,17 @@ def test_many_blocks_share_folders(spark, tmp_path, monkeypatch):
     for rows, columns in ((None, None), (range(10, 25), range(3, 9)), (range(59, 60), None), ([3, 41], range(0, 40))):
         want = {k: v for k, v in cells.items() if v and (rows is None or k[0] in rows) and (columns is None or k[1] in columns)}
         assert {(r.row, r.column): r.value for r in sp.read_slice(spark, folder, rows, columns).collect()} == want
+
+
+def test_titles_of_few_syllables(spark, monkeypatch):
+    """Of 5,000 titles that share nearly all character pairs the like ones are found within a minute, over the borders of chunks too."""
+    monkeypatch.setattr(s, "CHUNK", 300, raising=False)
+    draw = random.Random(4)
+    titles = {"".join(draw.choice(["tion", "th", "and ", "er", "ous", "in ", "re"]) for _ in range(draw.randint(12, 20))) for _ in range(4500)}
+    titles = sorted(titles | {t[:k] + "é" + t[k + draw.randint(0, 4) :] for t in draw.sample(sorted(titles), 500) for k in [draw.randrange(len(t))]} | {"x", "xy", "é" * 3000, "é" * 2990})
+    begun = time.monotonic()
+    got = {(r.key, r.other): r.ratio for r in s.similar_titles(spark.createDataFrame([(t,) for t in titles], "t string").repartition(4), "t").collect()}
+    assert time.monotonic() - begun < 60
+    for a in [*draw.sample(titles, 25), "é" * 3000, "x"]:
+        like = {b: SequenceMatcher(None, a, b).ratio() for b in titles if b != a and SequenceMatcher(None, a, b).real_quick_ratio() >= 0.9 and SequenceMatcher(None, a, b).quick_ratio() >= 0.9}
+        assert {b: r for (k, b), r in got.items() if k == a} == {b: r for b, r in like.items() if r >= 0.9}
