@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.session import cut_lineage
+from spectrafold.session import bounded_batches, cut_lineage
 
 SAMPLE, PIECE, MOST_CELLS = 20_000, 4096, 1024
 #: Angles of rounded vectors are off by less than this.
@@ -159,6 +159,54 @@ def search(index: tuple[DataFrame, np.ndarray], queries: DataFrame, query: str,
     return _top(found, k).select("query", "id", "similarity", "rank")
 
 
+def _blocks(rows: int):
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a in range(0, len(part), rows):
+                some = part.iloc[a : a + rows]
+                yield pd.DataFrame({"ids": [some["id"].to_numpy()], "flat": [np.concatenate(some["e"].to_numpy())]})
+
+    return cut
+
+
+def _nearest(k: int, rows: int = 256):
+    """The ``k`` nearest of a block to each query: products of matrices say which may be, sums in the order of the components how near."""
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_order = lambda x: np.add.accumulate(x, axis=1)[:, -1]  # noqa: E731  the same for equal vectors, as a product of matrices is not
+        for part in parts:
+            for q_ids, q_flat, ids, flat in zip(part["q_ids"], part["q_flat"], part["ids"], part["flat"]):
+                x, q = np.reshape(flat, (len(ids), -1)), np.reshape(q_flat, (len(q_ids), -1))
+                norm, q_norm = np.sqrt(in_order(x * x)), np.sqrt(in_order(q * q))
+                unit = (x / norm[:, None]).T
+                for a in range(0, len(q), rows):
+                    about = (q[a : a + rows] / q_norm[a : a + rows, None]) @ unit
+                    about[q_ids[a : a + rows, None] == ids[None, :]] = -2.0
+                    least = np.partition(about, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                    one, two = np.nonzero((about >= least[:, None] - 1e-9) & (about > -2.0))
+                    s = in_order(q[a + one] * x[two]) / (q_norm[a + one] * norm[two])
+                    order = np.lexsort((ids[two], -s, one))
+                    one, two, s = one[order], two[order], s[order]
+                    first = np.arange(len(one)) - np.searchsorted(one, one) < k
+                    yield pd.DataFrame({"query_id": q_ids[a + one[first]], "vec_id": ids[two[first]], "s": s[first]})
+
+    return nearest
+
+
+def scan(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """``(query_id, vec_id, s)``: of ``vectors(id, e)`` the ``k`` nearest of each block to each query, by cosine and then id, without the query itself.
+
+    Vectors have one length, finite components and a direction.  Queries and vectors meet in pairs of blocks, so no task holds either whole.
+    """
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    block = f"ids array<{vectors.schema['id'].dataType.simpleString()}>, flat array<double>"
+    every = cut_lineage(vectors.repartition(tasks, "id").mapInPandas(_blocks(2 * PIECE), block))
+    asked = cut_lineage(vectors.where(is_query).coalesce(1 + tasks // 16).mapInPandas(_blocks(PIECE // 4), block)).toDF("q_ids", "q_flat")
+    return every.crossJoin(asked).mapInPandas(_nearest(k), f"query_id {vectors.schema['id'].dataType.simpleString()}, vec_id {vectors.schema['id'].dataType.simpleString()}, s double")
+
+
 def recommend(index: tuple[DataFrame, np.ndarray], liked: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """The rows most like the mean of some vectors, which are left out themselves; the query is called 0."""
     v = F.posexplode(F.col(vector).cast("array<double>"))

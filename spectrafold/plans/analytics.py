@@ -9,6 +9,7 @@ from spectrafold.operators import cleaning as c
 from spectrafold.operators import features as ft
 from spectrafold.operators import matrix as mx
 from spectrafold.operators import relations as r
+from spectrafold.operators import vector_search as vs
 from spectrafold.operators.permutation import empirical_p, label_permutations, shuffle_residuals
 from spectrafold.plans.tabular import rounded
 from spectrafold.registry import register
@@ -258,12 +259,18 @@ def regression_metrics(spark, d):
 @register("cosine_neighbours", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings)
 SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(q.e, v.e),6) AS similarity FROM v q JOIN v ON q.vec_id<>v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5""")
 def cosine_neighbours(spark, d):
-    """A stated query set against all vectors; each task keeps its own best five before they meet."""
+    """A stated query set against all vectors by blocks; vectors of another length or without a direction are met one by one."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where("vec_id IS NOT NULL")
     v = v.withColumn("norm", F.sqrt(dot("e", "e")))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    pairs = q.join(v, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", (dot("qe", "e") / (F.col("qn") * F.col("norm"))).alias("s"))
+    directed = F.coalesce((F.col("norm") > 1e-100) & (F.col("norm") < 1e100), F.lit(False))
+    told = v.agg(F.min(F.size("e")).alias("least"), F.max(F.size("e")).alias("most"), F.count_if(~directed).alias("odd")).first()
+    v = v.withColumn("whole", directed & (F.size("e") == F.lit(told.most)))
+    pairs = vs.scan(v.where("whole").select(F.col("vec_id").alias("id"), "e"), F.col("id") % 100 == 0, 5)
+    if told.odd or told.least != told.most:
+        q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"), F.col("whole").alias("q_whole"))
+        rest = q.join(v, (F.col("query_id") != F.col("vec_id")) & ~(F.col("q_whole") & F.col("whole")))
+        pairs = pairs.union(rest.select("query_id", "vec_id", (dot("qe", "e") / (F.col("qn") * F.col("norm"))).alias("s")))
     best = c.top_per_group(pairs, ["query_id"], [F.desc("s"), F.col("vec_id")], 5)
     return best.select("query_id", "vec_id", F.round("s", 6).alias("similarity"))
 

@@ -7,12 +7,14 @@ import time
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spectrafold import registry
 from spectrafold.operators import permutation as p
 from spectrafold.operators import selection as s
+from spectrafold.operators import vector_search as vs
 from spectrafold.sources import sparse as sp
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +79,17 @@ def test_titles_of_few_syllables(spark, monkeypatch):
     for a in [*draw.sample(titles, 25), "é" * 3000, "x"]:
         like = {b: SequenceMatcher(None, a, b).ratio() for b in titles if b != a and SequenceMatcher(None, a, b).real_quick_ratio() >= 0.9 and SequenceMatcher(None, a, b).quick_ratio() >= 0.9}
         assert {b: r for (k, b), r in got.items() if k == a} == {b: r for b, r in like.items() if r >= 0.9}
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    """Equal vectors in other blocks are equally near, so that ids decide between them."""
+    monkeypatch.setattr(vs, "PIECE", 40)
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((400, 7))
+    x[200:] = x[draw.integers(0, 50, 200)]
+    got = vs.scan(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<double>"), F.col("id") % 10 == 0, 5).collect()
+    near = lambda a, b: sum(map(float.__mul__, a, b), 0.0) / (math.sqrt(sum(map(float.__mul__, a, a), 0.0)) * math.sqrt(sum(map(float.__mul__, b, b), 0.0)))
+    for q in range(0, 400, 10):
+        best = sorted((-r.s, r.vec_id) for r in got if r.query_id == q)[:5]
+        want = sorted((-near(x[q].tolist(), v.tolist()), i) for i, v in enumerate(x) if i != q)[:5]
+        assert [i for _, i in best] == [i for _, i in want] and np.allclose([s for s, _ in best], [s for s, _ in want], rtol=1e-12)
